@@ -96,8 +96,9 @@ def filter_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, key: str =
     # a rule's stored string is host + path, a blocked host's ends in a blank, which no rule has before its path
     entries = [(verdict, host + path) for verdict, host, path in rules] + [("block", f"{host} ") for host in blocked]
     path = write_array(entries, tempfile.mkdtemp(prefix="contentloom-"))
-    spark.sparkContext.addFile(path)
     name, lengths = os.path.basename(path), sorted({len(p) for _, _, p in rules})
+    if not os.path.exists(SparkFiles.get(name)):  # the same content may have been handed out already
+        spark.sparkContext.addFile(path)
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
