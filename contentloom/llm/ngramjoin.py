@@ -23,6 +23,7 @@ Shingles are compared as 64-bit hashes; equal sets by 128 bits and their size.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -107,8 +108,8 @@ def _dealing(bits: int) -> Callable:
             rows = []
             for keys, x, y, base in ((_ranges(tokens, bits), tokens, tags, 0), (_ranges(credited.view(U64), bits), credit.astype(U64), credited, 1 << bits)):
                 order = np.argsort(keys, kind="stable")
-                cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                cuts = [*np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order)]
+                for a, b in pairwise(cuts):
                     rows.append((base + int(keys[order[a]]), _blob(x[order[a:b]]), _blob(y[order[a:b]])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["r", "tokens", "tags"])
 
@@ -339,7 +340,7 @@ def candidates(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return rare.unionByName(often).groupBy("g", "i", "j").applyInArrow(_tries, "a long, b long").distinct()
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
+def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach. A null or empty text
@@ -361,7 +362,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     sets = docs.join(ids, docs["doc_id"] == ids["rep"]).select("doc_id", "text", "s1", "s2", "ratio")
     sets = checkpoint(sets.mapInArrow(_sets, SETS))
 
-    keyed = sets.select("s1", "n", "ratio", F.posexplode("mins").alias("k", "low"))
+    keyed = sets.select("s1", "n", "ratio", F.posexplode("mins").alias("k", "low")).where(F.col("k") < centres)
     centres = keyed.groupBy("k", "low").agg(F.min(F.struct("ratio", "s1", "n")).alias("c"))
     near = keyed.join(centres, ["k", "low"]).where((F.col("s1") != F.col("c.s1")) & (4 * F.least("n", "c.n") >= 3 * F.greatest("n", "c.n")))
     stars = checkpoint(verify(near.select(F.col("c.s1").alias("a"), F.col("s1").alias("b")).distinct(), sets))
