@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small
 from .components import components
 from .textkernel import U64, mix, shingle_sets
 
@@ -358,7 +358,7 @@ def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     out_of = F.least("n", F.floor(F.col("n") / 4) + F.greatest(F.lit(1), F.floor((3 * F.col("n") + 19) / 20))) - F.col("credit")
     left = classes.join(credits, "s1").where(out_of <= F.floor(F.col("n") / 4))
     left = checkpoint(left.select("rep", "s1", "s2", (F.greatest(out_of, F.lit(0)) / F.col("n")).alias("ratio")))
-    ids = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    ids = small(left, BROADCAST_ROWS)
     sets = docs.join(ids, docs["doc_id"] == ids["rep"]).select("doc_id", "text", "s1", "s2", "ratio")
     sets = checkpoint(sets.mapInArrow(_sets, SETS))
 
