@@ -16,7 +16,8 @@ SAMPLE = 16
 def load(lines: DataFrame) -> DataFrame:
     """Peer rows of key, value (JSON); what can't be read is left out, a missing id comes from the key."""
     row = F.from_json("value", PEER, {"mode": "PERMISSIVE"})
-    kept = lines.select("key", row.alias("r"), F.try_parse_json("value").isNotNull().alias("valid") if hasattr(F, "try_parse_json") else F.lit(True).alias("valid")).where("valid AND r IS NOT NULL")
+    is_object = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{")
+    kept = lines.where(is_object).select("key", row.alias("r")).where("r IS NOT NULL")
     peer = F.coalesce(F.nullif("r.peer_id", F.lit("")), X.unescape_key(F.col("key")))
     return kept.select(peer.alias("peer_id"), *[F.col(f"r.{f.name}") for f in PEER if f.name != "peer_id"])
 
