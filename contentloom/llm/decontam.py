@@ -37,22 +37,47 @@ SHIFT = 2
 INDEX_BYTES = 4 << 20
 
 
+#: The largest window; longer items have windows of this size.
+MOST_WORDS = 1 << 14
+#: A byte's bits as the lowest bits of eight bytes, and what collects them again in the highest byte.
+SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], U64)
+EACH, COLLECT = U64(0x0101010101010101), U64(0x0102040810204080)
+
+
 def window_sizes(n: int) -> list[int]:
     if not n:
         return []
-    top = 1 << (n.bit_length() - 1)
+    top = min(1 << (n.bit_length() - 1), MOST_WORDS)
     return [top, top // 2] if n >= 16 else [top]
 
 
 def fingerprints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """For each size the SimHash of the window that starts at each word (across texts too)."""
+    """For each size the SimHash of the window that starts at each word (across texts too): the bits that more than half of its words have.
+
+    Eight counters share a 64-bit number. Differences of its running sums are
+    the counts of a window, whatever ran over in between; those of windows up
+    to 127 words fit, others are counted one bit at a time.
+    """
     out = {w: np.zeros(max(0, len(hashes) - w + 1), U64) for w in sizes}
-    sums = np.zeros(len(hashes) + 1, np.int32)
-    for bit in range(64):
-        np.cumsum((hashes >> U64(bit)) & U64(1), dtype=np.int32, out=sums[1:])
-        for w, prints in out.items():
-            if len(prints):
-                prints |= (sums[w:] - sums[:-w] > w // 2).astype(U64) << U64(bit)
+    short, long = [w for w in sizes if w < 128], [w for w in sizes if w >= 128]
+    sums = np.zeros(len(hashes) + 1, U64)
+    for k in range(8):
+        byte = (hashes >> U64(8 * k)).astype(np.uint8)
+        if short:
+            np.cumsum(SPREAD[byte], out=sums[1:])
+        for w in short:
+            count = sums[w:] - sums[:-w]
+            count += EACH * U64(127 - w // 2)  # its highest bit tells whether a count is more than half
+            count >>= U64(7)
+            count &= EACH
+            count *= COLLECT
+            count >>= U64(56)
+            count <<= U64(8 * k)
+            out[w] |= count
+        for bit in range(8 if long else 0):
+            np.cumsum((byte >> np.uint8(bit)) & np.uint8(1), dtype=U64, out=sums[1:])
+            for w in long:
+                out[w] |= (sums[w:] - sums[:-w] > U64(w // 2)).astype(U64) << U64(8 * k + bit)
     return out
 
 
@@ -114,12 +139,19 @@ class Index:
     def best(self, item: int, hashes: np.ndarray, start: int) -> tuple[float, int, int]:
         """The greatest similarity with an item at about a word of a text, and the words it spans."""
         length, bag, top = self.lengths[item], self.bags[item], (0.0, 0, 0)
+        low, high = max(0, start - SHIFT), min(len(hashes), start + length + 2 * SHIFT)
+        cut = lambda a, b: shingles(hashes[a:b], np.array([0, b - a]), SHINGLE)[0].tolist()
+        around = cut(low, high) if length >= SHINGLE + SHIFT and high - low >= SHINGLE else None
+        if around is not None:
+            held = Counter(around)
+            if sum(min(n, held[s]) for s, n in bag.items()) < SIMILARITY * bag.total():
+                return top  # not even all that is here would do
         for dl in sorted(range(-SHIFT, SHIFT + 1), key=abs):
             for ds in sorted(range(-SHIFT, SHIFT + 1), key=abs):
                 a, b = max(0, start + ds), min(len(hashes), start + ds + length + dl)
                 if b > a:
-                    found = shingles(hashes[a:b], np.array([0, b - a]), SHINGLE)[0]
-                    if (s := similarity(Counter(found.tolist()), bag)) > top[0]:
+                    found = around[a - low : b - low - SHINGLE + 1] if around is not None and b - a >= SHINGLE else cut(a, b)
+                    if (s := similarity(Counter(found), bag)) > top[0]:
                         top = (s, a, b)
                         if s == 1:
                             return top
