@@ -284,7 +284,7 @@ def log_walk(spark, sf_dir):
     return eventlog.walk(eventlog.chained(workload.log(spark, sf_dir)), 20)
 
 
-@query(f"WITH {CHAIN_SQL}, l AS (SELECT max(height) - 30 AS ours FROM c) SELECT 30::BIGINT AS applied, arg_max(cid, height) AS cid, max(height) AS height, NULL::VARCHAR AS error FROM c, l")
+@query(f"WITH {CHAIN_SQL}, l AS (SELECT greatest(max(height) - 30, 0) AS ours FROM c) SELECT count(*) FILTER (height > ours) AS applied, arg_max(cid, height) AS cid, max(height) AS height, NULL::VARCHAR AS error FROM c, l")
 def sync_suffix(spark, sf_dir):
     remote = eventlog.chained(workload.log(spark, sf_dir)).withColumn("size", F.length("peer") + 40)
     top = remote.agg(F.max("height").alias("top"))
