@@ -46,8 +46,8 @@ TEMPLATES = {
     "ISC notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 WORD = r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
-#: Words too common to look for.
-PLAIN = frozenset("a above all an and any appear are as at be but by can conditions copies copy file following for form forms free in is list may of on one or person persons that the this to use was with without you your".split())
+#: Words too common to look for, as long as there are others; they are looked for as parts of words.
+PLAIN = frozenset("it its any not out per see for from have has a above all an and any appear are as at be but by can conditions copies copy file following for form forms free in is list may of on one or person persons that the this to use was with without you your".split())
 
 
 def template_shingles(templates: dict[str, str]) -> list[tuple[str, str]]:
@@ -65,7 +65,7 @@ def telling_words(shingles: list[str]) -> set[str]:
     spare = len(shingles) * (1 - CONTAINMENT)
     total = 0
     while total <= spare:
-        words = sorted({w for s in left for w in s}, key=lambda w: (w in PLAIN, -sum(w in s for s in left), w))
+        words = sorted({w for s in left for w in s}, key=lambda w: (w in PLAIN or len(w) < 3, -sum(w in s for s in left), w))
         chosen.add(words[0])
         total += sum(words[0] in s for s in left)
         left = [s for s in left if words[0] not in s]
