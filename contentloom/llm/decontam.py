@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
-Words are runs of letters and digits, A-Z taken as a-z. A window's fingerprint
+Words are runs of letters and digits, in lower case. A window's fingerprint
 is the 64-bit SimHash of its words. Windows come in powers of two: an item of L
 words gives all its windows of the largest power up to L and, from 16 words on,
 of half of it; documents give their windows of these sizes at every word. So an
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,11 @@ def fingerprints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in lower case, code point by code point, so places stay the same."""
+    return pc.utf8_lower(column)
+
+
 def similarity(one: Counter, two: Counter) -> float:
     least = sum(min(n, two[s]) for s, n in one.items() if s in two)
     return least / ((one.total() + two.total() - least) or 1)
@@ -94,7 +100,7 @@ class Index:
         self.lengths, self.bags = [], []
         prints: dict[int, list] = {}
         for k, (_, text) in enumerate(items):
-            _, data, offsets = next(pieces(pa.array([text])))
+            _, data, offsets = next(pieces(lowered(pa.array([text]))))
             start, end, bounds = words(data, offsets, ALNUM)
             hashes = word_hashes(data, start, end)
             self.lengths.append(len(hashes))
@@ -158,9 +164,9 @@ class Index:
         return top
 
     def hits(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-        """(index of the text, item, similarity, first and last byte) for the best place of each item in each text."""
+        """(index of the text, item, similarity, start, end in code points) for the best place of each item in each text."""
         self.open()
-        for first, data, offsets in pieces(column):
+        for first, data, offsets in pieces(lowered(column)):
             start, end, bounds = words(data, offsets, ALNUM)
             hashes = word_hashes(data, start, end)
             asked: set[tuple[int, int, int]] = set()
@@ -181,7 +187,9 @@ class Index:
                         top[t, i] = (s, a, b)
             for (t, i), (s, a, b) in top.items():
                 base = bounds[t]
-                yield first + t, i, s, int(start[base + a] - offsets[t]), int(end[base + b - 1] - offsets[t])
+                at, behind = start[base + a], end[base + b - 1]
+                before = len(data[offsets[t] : at].tobytes().decode())
+                yield first + t, i, s, before, before + len(data[at:behind].tobytes().decode())
 
 
 def indexes(benchmark: DataFrame) -> list:
@@ -213,8 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 hits = list(index.value.hits(batch.column(1)))
                 ids = [index.value.ids[h[1]] for h in hits]
-                at = [[len(batch.column(1)[h[0]].as_py().encode()[:k].decode()) for k in h[3:]] for h in hits]
-                columns = [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), ids, [h[2] for h in hits], [a for a, _ in at], [b for _, b in at]]
+                columns = [batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), ids, *([h[k] for h in hits] for k in (2, 3, 4))]
                 types = [None, pa.int32() if item_type == "int" else pa.int64() if item_type == "bigint" else pa.string(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "similarity", "start", "end"])
 
