@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import codec
+from .functions import codec, signature
 from .functions import expressions as X
 from .operators import blocks, eventlog, handshake, metrics, peers
 from .plans import chain
@@ -365,6 +365,23 @@ def gate_filter(spark, sf_dir):
     return handshake.gated(streams, e.where("event_type = 'signup'")).select("event_id", "peer")
 
 
+#: Key, message and signature of the second test of RFC 8032, 7.1.
+TOKEN_KEY = bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")
+TOKEN_PEER = b"\x72"
+TOKEN = "kqAJqfDUyrhyDoILX2QlQKKye1QWUD+Ps3YiI+vbadoIWsHkPhWZbkWPNhPQ8R2MOHsurrQwKu6wDSkWErsMAA=="
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS verified FROM events")
+def token_verify(spark, sf_dir):
+    """Tokens of peers against the key of an authority; each distinct token and peer is verified once."""
+    good = F.col("event_id") % 3 == 0
+    peer = F.when(F.col("event_id") % 3 == 1, F.lit(b"x")).otherwise(F.lit(TOKEN_PEER))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(good | (F.col("event_id") % 3 == 1), TOKEN).otherwise("bm90IGEgc2lnbmF0dXJl").alias("token"), peer.alias("peer"))
+    pairs = rows.select(F.col("token").alias("t"), F.col("peer").alias("p")).distinct()
+    pairs = pairs.withColumn("verified", signature.token_ok_column(F.col("t"), F.col("p"), [TOKEN_KEY]))
+    return rows.join(pairs, (F.col("token") == F.col("t")) & (F.col("peer") == F.col("p"))).select("event_id", "verified")
+
+
 HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 
