@@ -201,3 +201,14 @@ def comparable(embedding: Column) -> Column:
     """Whether a vector can link: no null or non-finite component, and not all zero."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     return F.coalesce((F.size(embedding) > 0) & F.forall(embedding, finite) & F.exists(embedding, lambda c: c != 0), F.lit(False))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x), least_reached AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN least_reached r ON r.x = vec_id
+"""

@@ -131,3 +131,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     first = F.col("win") * F.col("c") + F.array_min(F.transform("common", lambda h: F.array_position(F.col("own"), h))) - 1
     found = found.select("doc_id", "license", (F.size("common") / F.col("n")).alias("containment"), first.cast("long").alias("first_word"), "row", "win", "c")
     return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.count("*").alias("n_windows"))
+
+
+def oracle_sql(templates: dict[str, str] = TEMPLATES) -> str:
+    rows = template_shingles(templates)
+    count = {name: sum(n == name for n, _ in rows) for name in templates}
+    values = ", ".join(f"('{name}', '{shingle}', {count[name]}, {1 << (count[name] - 1).bit_length()})" for name, shingle in rows)
+    return f"""
+WITH t(license, shingle, n, c) AS (VALUES {values}),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
+s AS (SELECT doc_id, i - 1 AS pos, array_to_string(ws[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+met AS (SELECT doc_id, license, n, pos, s.shingle, unnest(CASE WHEN pos // c > 0 THEN [pos // c - 1, pos // c] ELSE [0] END) AS win FROM s JOIN t ON s.shingle = t.shingle),
+held AS (SELECT doc_id, license, win, count(DISTINCT shingle) / any_value(n) AS part, min(pos) AS pos FROM met GROUP BY doc_id, license, win)
+SELECT doc_id, license, max(part)::DOUBLE AS containment, min(pos)::BIGINT AS first_word, count(*) AS n_windows FROM held WHERE part >= {CONTAINMENT} GROUP BY doc_id, license"""
