@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,9 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, marked for broadcast if it has no more rows than that; larger ones are left to a shuffled join. It is counted, so it should be checkpointed."""
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files and checkpoints that nothing refers to any more; it learns of them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
