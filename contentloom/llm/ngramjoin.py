@@ -15,7 +15,10 @@ outside of any set it links with. From this follow, losing no link:
    n // 4 + 1 of each. These prefixes are stored in tries; a search shares the
    partial overlap of the members above a node, and leaves out subtrees that
    cannot reach the overlap with what remains of the sets, or whose sets are
-   all in the searcher's group already. Candidates are verified on whole sets.
+   all in the searcher's group already. Bitmaps of the whole sets leave out what
+   differs in too many members; what remains is verified on whole sets. Before
+   all candidates are, the nearest one in each other group is, as most groups
+   that link are tied by it and need no further comparison.
 
 Shingles are compared as 64-bit hashes; equal sets by 128 bits and their size.
 """
@@ -30,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small
+from .common import checkpoint, release, small
 from .components import components
 from .textkernel import U64, mix, shingle_sets
 
 SHINGLE = 5
 CENTRES = 3
+#: A set meets only its nearest one first, then the nearest of each other component, then all that are left: the last round leaves out nothing.
+ROUNDS = ("set", "component", "")
 #: Tokens of one hash range at the first dealing; entries of one group of tries.
 RANGE_TOKENS = 1 << 20
-GROUP_ENTRIES = 1 << 15
+GROUP_ENTRIES = 1 << 18
 #: A token with more entries is dealt in pairs of blocks of about this size.
 BLOCK = 1 << 11
 SKETCH = 1 << 20
@@ -216,13 +221,13 @@ def sketch(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(counts) -> Callable:
-    """s1, n, component, members -> an entry for each of the first n // 4 + 1 members in the global order that may be shared."""
+    """s1, members -> an entry for each of the first n // 4 + 1 members in the global order that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
             parts = []
-            for k, x in enumerate(batch.column(3)):
+            for k, x in enumerate(batch.column(1)):
                 members = np.frombuffer(x.as_buffer(), U64)
                 count = table[(members % U64(SKETCH)).astype(np.int64)]
                 first = np.lexsort((members, count))[: len(members) // 4 + 1]
@@ -231,11 +236,35 @@ def _prefixes(counts) -> Callable:
             if parts:
                 owner = np.concatenate([p[2] for p in parts])
                 columns = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]))]
-                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(j).take(pa.array(owner)) for j in range(3))], names=["token", "pos", "s1", "n", "component"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(owner))], names=["token", "pos", "s1"])
 
     return run
 
 
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """Parities of the members by the low bits of their hashes, at least four bits for each member."""
+    bits = 1 << min(16, max(8, (4 * len(members) - 1).bit_length()))
+    at, n = np.unique(mix(members) & U64(bits - 1), return_counts=True)
+    odd = at[n % 2 == 1].astype(np.int64)
+    out = np.zeros(bits, np.uint8)
+    out[odd] = 1
+    return np.packbits(out, bitorder="little").view(U64)
+
+
+def folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows) as they would be with fewer bits."""
+    while bitmaps.shape[1] > width:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [_blob(bitmap(np.frombuffer(x.as_buffer(), U64))) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["s1", "n", "bitmap"])
+
+
 class Node:
     __slots__ = ("above", "children", "component", "ends", "hi", "lo", "rest", "token")
 
@@ -284,51 +313,94 @@ class Trie:
                     stack.extend(node.children.values())
 
 
-def _tries(table: pa.Table) -> pa.Table:
-    """Entries (token, pos, s1, n, component, side) of one group -> candidate pairs.
+class Bitmaps:
+    """Bounds for many sets at once: each member that only one of two sets has changes one bit, so they differ in at least as many members as bits."""
+
+    def __init__(self, maps: list[bytes]):
+        self.rows: dict[int, tuple[list[int], np.ndarray]] = {}
+        self.own = [np.frombuffer(m, U64) for m in maps]
+        self.place = np.zeros(len(maps), np.int64)
+        self.width = np.array([len(m) for m in self.own], np.int64)
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.stack([self.own[k] for k in at])
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), np.int64)
+        for w in np.unique(self.width[others]).tolist():
+            at = np.flatnonzero(self.width[others] == w)
+            least = min(w, int(self.width[i]))
+            there = folded(self.rows[w][self.place[others[at]]], least)
+            out[at] = np.bitwise_count(there ^ folded(self.own[i][None, :], least)).sum(1)
+        return out
+
 
-    side 0: all with all; otherwise blocks 1 and 2 of a common token, each with the other.
+def _tries(best: str) -> Callable:
+    """Entries (token, pos, s1, component, side) and sets (s1, n, bitmap) of one group -> candidate pairs (a, b, component, apart).
+
+    side 0: all with all; otherwise blocks 1 and 2 of a common token, each with
+    the other. best leaves only the nearest candidate of a set ("set"), or its
+    nearest in each other component ("component"); "" leaves all.
     """
-    pos, s1 = table["pos"].to_numpy(), table["s1"].to_numpy()
-    order = np.lexsort((pos, s1))
-    token, pos, s1, n, component, side = (table[c].to_numpy()[order].tolist() for c in ("token", "pos", "s1", "n", "component", "side"))
-    items: dict[int, list] = {}
-    for k in range(len(s1)):
-        item = items.setdefault((s1[k], side[k]), [[], [], n[k], component[k], side[k], s1[k]])
-        if not item[0] or item[0][-1] != token[k]:
-            item[0].append(token[k])
-            item[1].append(pos[k])
-    trie, found, listed = Trie(), set(), list(items.values())
-    for i, item in enumerate(listed):
-        if item[4] < 2:
-            trie.add(i, *item[:4])
-    for i, item in enumerate(listed):
-        if item[4] != 1:
-            for j in trie.search(*item[:4]):
-                other = listed[j][5]
-                if other != item[5] and linkable(item[2], listed[j][2]):
-                    found.add((min(other, item[5]), max(other, item[5])))
-    pairs = sorted(found)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    def run(entries: pa.Table, sets: pa.Table) -> pa.Table:
+        pos, s1 = entries["pos"].to_numpy(), entries["s1"].to_numpy()
+        order = np.lexsort((pos, s1))
+        token, pos, s1, component, side = (entries[c].to_numpy()[order].tolist() for c in ("token", "pos", "s1", "component", "side"))
+        sizes = dict(zip(sets["s1"].to_pylist(), zip(sets["n"].to_pylist(), sets["bitmap"].to_pylist(), strict=True), strict=True))
+        items: dict[tuple, list] = {}
+        for k in range(len(s1)):
+            item = items.setdefault((s1[k], side[k]), [[], [], sizes[s1[k]][0], component[k], side[k], s1[k]])
+            if not item[0] or item[0][-1] != token[k]:
+                item[0].append(token[k])
+                item[1].append(pos[k])
+        listed = list(items.values())
+        trie, maps = Trie(), Bitmaps([sizes[item[5]][1] for item in listed])
+        ids, n, components_ = (np.array([item[k] for item in listed], np.int64) for k in (5, 2, 3))
+        for i, item in enumerate(listed):
+            if item[4] < 2:
+                trie.add(i, *item[:4])
+        out = [(np.zeros(0, np.int64),) * 4]
+        for i, item in enumerate(listed):
+            if item[4] == 1:
+                continue
+            met = np.unique(np.fromiter(trie.search(*item[:4]), np.int64))
+            met = met[(components_[met] != item[3]) & (ids[met] > item[5]) if item[4] == 0 and not best else components_[met] != item[3]]
+            met = met[4 * np.minimum(n[met], item[2]) >= 3 * np.maximum(n[met], item[2])]
+            if len(met):
+                apart = maps.differ(i, met)
+                good = apart <= n[met] + item[2] - 2 * need(n[met], item[2])
+                met, apart = met[good], apart[good]
+            if len(met) and best:
+                near = np.lexsort((ids[met], apart, components_[met])) if best == "component" else np.lexsort((ids[met], apart))
+                met, apart = met[near], apart[near]
+                first = np.flatnonzero(np.diff(components_[met], prepend=components_[met[0]] - 1)) if best == "component" else slice(1)
+                met, apart = met[first], apart[first]
+            if len(met):
+                out.append((np.full(len(met), item[5]), ids[met], components_[met], apart))
+        a, b, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b, "component": c, "apart": d})
+
+    return run
 
 
 def linkable(n: int, m: int) -> bool:
     return 4 * min(n, m) >= 3 * max(n, m)
 
 
-def candidates(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a member of their prefixes."""
-    spark = sets.sparkSession
-    counts = spark.sparkContext.broadcast(sketch(sets))
-    known = sets.select("s1", "n", "members").join(labels.select(F.col("node").alias("s1"), "component"), "s1", "left")
-    known = known.select("s1", "n", F.coalesce("component", "s1").alias("component"), "members")
-    entries = checkpoint(known.mapInArrow(_prefixes(counts), "token long, pos int, s1 long, n long, component long"))
-    tokens = entries.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("entries"))
+def candidates(entries: DataFrame, bitmaps: DataFrame, labels: DataFrame, best: str) -> DataFrame:
+    """Pairs (a, b) of sets of different components (labels: node, component) that share a member of their prefixes and may link.
+
+    With best only the nearest by bitmap, of each set or of each set and other component.
+    """
+    known = entries.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    tokens = known.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("entries"))
     tokens = checkpoint(tokens.where("least <> most").select(F.col("token").alias("t"), "entries"))
     total = tokens.agg(F.sum("entries")).first()[0] or 0
     groups = max(1, total // GROUP_ENTRIES)
-    kept = entries.join(tokens, F.col("token") == F.col("t"))
-    columns = ["token", "pos", "s1", "n", "component"]
+    kept = known.join(tokens, F.col("token") == F.col("t"))
+    columns = ["token", "pos", "s1", "component"]
     common = F.col("entries") > BLOCK
     rare = kept.where(~common).select(*columns, F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     blocks = F.ceil(F.col("entries") / BLOCK).cast("int")
@@ -337,7 +409,13 @@ def candidates(sets: DataFrame, labels: DataFrame) -> DataFrame:
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(i == j, 0).when(F.col("own") == i, 1).otherwise(2)
     often = often.select(*columns, F.col("token").alias("g"), (i + 1).alias("i"), (j + 1).alias("j"), side.alias("side"))
-    return rare.unionByName(often).groupBy("g", "i", "j").applyInArrow(_tries, "a long, b long").distinct()
+    dealt = checkpoint(rare.unionByName(often))
+    there = dealt.select(F.col("g").alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("s1").alias("ts")).distinct()
+    there = there.join(bitmaps, F.col("ts") == F.col("s1")).select("tg", "ti", "tj", "s1", "n", "bitmap")
+    found = dealt.groupBy("g", "i", "j").cogroup(there.groupBy("tg", "ti", "tj")).applyInArrow(_tries(best), "a long, b long, component long, apart long")
+    if best:
+        found = found.groupBy("a", *["component"] * (best == "component")).agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
@@ -365,8 +443,16 @@ def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     keyed = sets.select("s1", "n", "ratio", F.posexplode("mins").alias("k", "low")).where(F.col("k") < centres)
     centres = keyed.groupBy("k", "low").agg(F.min(F.struct("ratio", "s1", "n")).alias("c"))
     near = keyed.join(centres, ["k", "low"]).where((F.col("s1") != F.col("c.s1")) & (4 * F.least("n", "c.n") >= 3 * F.greatest("n", "c.n")))
-    stars = checkpoint(verify(near.select(F.col("c.s1").alias("a"), F.col("s1").alias("b")).distinct(), sets))
-    links = stars.unionByName(checkpoint(verify(candidates(sets, components(stars)), sets)))
+    links = checkpoint(verify(near.select(F.col("c.s1").alias("a"), F.col("s1").alias("b")).distinct(), sets))
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))
+    entries = checkpoint(sets.select("s1", "members").mapInArrow(_prefixes(counts), "token long, pos int, s1 long").distinct())
+    bitmaps = checkpoint(sets.select("s1", "n", "members").mapInArrow(_bitmaps, "s1 long, n long, bitmap binary").dropDuplicates(["s1"]))
+    for best in ROUNDS:
+        pairs = checkpoint(candidates(entries, bitmaps, components(links), best))
+        if pairs.isEmpty():
+            break  # no round would have any
+        links = links.unionByName(checkpoint(verify(pairs, sets)))
+        release(docs.sparkSession)
 
     roots = components(links).withColumnRenamed("node", "s1")
     classes = classes.join(roots, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
@@ -375,3 +461,17 @@ def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     found = signed.join(classes, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x),
+least_reached AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_reached ON x = d.doc_id
+"""

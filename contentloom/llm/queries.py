@@ -55,4 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op7_url_filter": urlfilter.ORACLE_SQL}
+    return {
+        "op2_ngram_join": ngramjoin.ORACLE_SQL,
+        "op3_source_mixing": mixing.ORACLE_SQL,
+        "op5_embedding_near_dup": embedjoin.ORACLE_SQL,
+        "op7_url_filter": urlfilter.ORACLE_SQL,
+        "op10_license_scan": licenses.oracle_sql(),
+    }
