@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without a shingle or an id are in no group and stay.
     """
     docs = docs.select(*COLUMNS)
-    groups = ngramjoin.ngram_join(docs)
+    groups = checkpoint(ngramjoin.ngram_join(docs))
     gone = checkpoint(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
     kept = docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
     again = checkpoint(groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
