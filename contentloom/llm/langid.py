@@ -222,7 +222,7 @@ def with_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """The rows of docs, all columns, whose language is known and has at least so much of the letters."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(fold(F.col("doc_id")) != 0)))
     at = docs.columns.index("text")

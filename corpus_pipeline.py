@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a known language that makes up most of it; without one (null texts, no letters) they go."""
+    """Documents whose text has a known language with a quarter of its letters at least; without one (null texts, no letters) they go."""
     return langid.accepted(docs.select(*COLUMNS))
 
 
