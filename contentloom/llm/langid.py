@@ -4,7 +4,8 @@ A model is learned from labelled texts: for every language the log frequencies
 of hashed byte n-grams of words, and the scripts it is written in. A text's
 words get a score for every language whose scripts they have; Viterbi with a
 penalty for each switch labels spans of the text. The language with the most
-letters in its spans is the text's.
+letters in its spans is the text's. Letters of scripts that no language has,
+and those of words of mostly unseen n-grams, are no language's.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BITS = 16
 SWITCH = 12.0
 #: What one n-gram can speak for or against a language at most.
 FLOOR = -6.0
+#: A model with fewer n-grams has seen too little for a missing one to mean anything.
+ENOUGH = 1000
 UND = "und"
 
 #: Bytes of words: ASCII letters and all of a multi-byte character.
@@ -41,6 +44,7 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # [n-gram, language], less the best language's score of that n-gram
     scripts: np.ndarray  # [script, language]: whether the language has it
+    seen: np.ndarray  # [n-gram]: whether a learned text has it; all true if they have fewer than ENOUGH
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -110,7 +114,8 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     if languages:
         scores = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * (1 << BITS)))
         scores = np.maximum(scores - scores.max(1, keepdims=True), FLOOR)
-    return Model(languages, scores.astype(np.float32), scripts > 0.001 * scripts.sum(0) if languages else scripts > 0)
+    seen = grams.any(1)
+    return Model(languages, scores.astype(np.float32), scripts > 0.001 * scripts.sum(0) if languages else scripts > 0, seen | (seen.sum() < ENOUGH))
 
 
 def viterbi(scores: np.ndarray) -> np.ndarray:
@@ -153,9 +158,11 @@ def labelled(scores: np.ndarray) -> np.ndarray:
     return viterbi(scores)
 
 
-def word_scores(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_scores(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the words for each language, and whether half of their n-grams at least were seen in any."""
     gram, owner = ngrams(data, start, end)
     first = np.searchsorted(owner, np.arange(len(start)))
+    seen = 2 * np.add.reduceat(model.seen[gram].astype(np.int64), first) >= end - start
     scores = np.add.reduceat(model.scores[gram], first, axis=0)
     # a word speaks for or against a language by no more than a few n-grams
     scores = np.maximum(scores, 2 * FLOOR)
@@ -166,34 +173,50 @@ def word_scores(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarr
     none = ~allowed.any(1)
     allowed[none] = True
     scores[none] = 0
-    return np.where(allowed, scores, 4 * FLOOR)
+    return np.where(allowed, scores, 4 * FLOOR), seen
 
 
-def predict(model: Model, column: pa.Array) -> Iterator[tuple[int, str, float, list]]:
-    """(index of the text, language, its share of the letters, spans as (language, first word, word behind))."""
+def letters(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many letters each word has, and how many of them are of a script that a language has."""
+    lead = (data & 0xC0) != 0x80
+    ours = lead & np.append(model.scripts.any(1), False)[np.minimum(SCRIPT, SCRIPTS)][data]
+    sums = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[end] - c[start]
+    known = sums(ours)
+    every = known.copy()
+    # signs between and around letters are none
+    for k in np.flatnonzero(sums(lead & ~ours)):
+        at = np.arange(start[k], end[k])[lead[start[k] : end[k]]]
+        every[k] += sum(c.isalpha() and not own for c, own in zip(data[start[k] : end[k]].tobytes().decode(), ours[at].tolist(), strict=True))
+    return every, known
+
+
+def predict(model: Model, column: pa.Array) -> Iterator[tuple[int, str, float, list, float]]:
+    """(index of the text, language, its share of the letters, spans as (language, first word, word behind), all languages' share)."""
     for first, data, offsets in pieces(lowered(column)):
         start, end, bounds = words(data, offsets, LETTERS)
-        scores = word_scores(model, data, start, end) if len(start) and model.languages else None
-        size = (end - start).astype(np.float64)
+        scores = None
+        if len(start) and model.languages:
+            scores, seen = word_scores(model, data, start, end)
+            size, known = letters(model, data, start, end)
+            known = np.where(seen, known, 0)
         for d in range(len(offsets) - 1):
             a, b = bounds[d], bounds[d + 1]
-            text = data[offsets[d] : offsets[d + 1]]
-            if scores is None or a == b or not (((text >= 97) & (text <= 122)).any() or any(c.isalpha() for c in text.tobytes().decode())):
-                yield first + d, UND, 0.0, []
+            if scores is None or not known[a:b].any():
+                yield first + d, UND, 0.0, [], 0.0
                 continue
             path = labelled(scores[a:b])
-            share = np.bincount(path, weights=size[a:b], minlength=len(model.languages))
+            share = np.bincount(path, weights=known[a:b], minlength=len(model.languages)) / size[a:b].sum()
             top = int(np.argmax(share))
             cuts = np.flatnonzero(np.diff(path, prepend=-1))
             spans = [(model.languages[path[x]], int(x), int(y)) for x, y in zip(cuts, [*cuts[1:], b - a], strict=True)]
-            yield first + d, model.languages[top], float(share[top] / share.sum()), spans
+            yield first + d, model.languages[top], float(share[top]), spans, float(share.sum())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans for every row of docs (doc_id, text).
 
-    lang_pred is und, with score 0, for a null text, one without a letter, and
-    if the model has no language. Ties go to the language first by code point.
+    lang_pred is und, with score 0, for a null text, one without a letter, one
+    whose letters are all no language's, and if the model has no language. Ties go to the language first by code point.
     Repeated rows each give a row; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -222,14 +245,14 @@ def with_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of docs, all columns, whose language is known and has at least so much of the letters."""
+def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, of whose letters at least so many are of known languages, be it of one or of several."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(fold(F.col("doc_id")) != 0)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [lang != UND and score >= least for _, lang, score, _ in predict(model.value, batch.column(at))]
+            keep = [lang != UND and share >= least for _, lang, _, _, share in predict(model.value, batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -328,6 +328,35 @@ def test_languages(spark):
     assert langid.with_language(docs.limit(0)).collect() == []
 
 
+def test_letters_of_no_known_language(spark):
+    r = random.Random(8)
+    syllables = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ung", "keit", "ver"], "cc": ["lö", "pä", "qy", "wex"], "dd": ["zo", "fij", "hag", "dé"], "ee": ["nub", "xol", "gip", "jas"]}
+    text = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(k, text(lang, 40), lang) for k in range(400) for lang in [r.choice(list(syllables))]]
+    foreign = ["Сегодня новый закон", "政府今天批准了一项新的法律，保护公民。", "«Привет», мир", "，政府今天", "ⲁⲃⲅ ⲇⲉ", "kato Сегодня правительство одобрило новый закон"]
+    known = [" ".join(text(lang, 20) for lang in syllables), "kato miru toka 政府", "“kato” — miru 😀😀😀😀😀😀😀😀😀😀"]
+    rows += [(1000 + k, t, None) for k, t in enumerate(foreign)] + [(2000 + k, t, None) for k, t in enumerate(known)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in langid.accepted(docs).collect()) == [*range(400), *range(2000, 2000 + len(known))]
+    found = {x.doc_id: x for x in langid.with_language(docs).collect()}
+    assert all((found[1000 + k].lang_pred, found[1000 + k].score) == (langid.UND, 0) for k in range(5))
+    assert found[1005].lang_pred == "aa" and found[1005].score < 0.2 and found[2001].score == pytest.approx(12 / 14) and found[2002].score == 1
+
+
+def test_words_of_mostly_unseen_ngrams():
+    r = np.random.default_rng(9)
+    some = ["".join(chr(97 + x) for x in r.integers(0, 13, r.integers(2, 9))) for _ in range(3000)]
+    data = np.frombuffer(" ".join(some).encode(), np.uint8)
+    start, end, _ = words(data, np.array([0, len(data)]), langid.LETTERS)
+    seen = np.zeros(1 << langid.BITS, bool)
+    seen[langid.ngrams(data, start, end)[0]] = True
+    scripts = np.zeros((langid.SCRIPTS, 1), bool)
+    scripts[0] = True
+    model = langid.Model(["xx"], np.zeros((1 << langid.BITS, 1), np.float32), scripts, seen)
+    shares = [x[4] for x in langid.predict(model, pa.array([" ".join(some[:20]), "zwxy vyst zxyst wzrt", f"{some[0]} {'z' * len(some[0])}"]))]
+    assert seen.sum() > langid.ENOUGH and shares == [1, 0, 0.5]
+
+
 def test_words_of_letters_and_digits():
     _, data, offsets = next(pieces(pa.array(["Ab, cd!! é1", "ab CD"])))
     start, end, bounds = words(data, offsets, ALNUM)
