@@ -38,6 +38,8 @@ ODD = re.compile(f"[{''.join(ALIKE)}{INVISIBLE}٠-٩۰-۹०-९！-～﹫。․
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
 BLANK_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-])", re.I)
 BLANK_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
+#: A real @ before a domain with a spelled point.
+BLANK_DOMAIN = re.compile(r"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+\s+dot\s+[A-Za-z0-9]", re.I)
 PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 
 
@@ -129,7 +131,7 @@ def normalised(text: str) -> tuple[str, list[int], list[int]] | None:
     apply([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKETED.finditer(current())])
     if "dot" in (low := current().lower()) or " at " in low:
         apply([(m.start(), m.end(), "@") for m in BLANK_AT.finditer(current())])
-        if now and "@" in now[0]:
+        if now and "@" in now[0] or BLANK_DOMAIN.search(current()):
             apply([(m.start(), m.end(), ".") for m in BLANK_DOT.finditer(current())])
     if "plus" in low:
         apply([(m.start(), m.end(), "+") for m in PLUS.finditer(current())])

@@ -130,6 +130,8 @@ def test_personal_base_equals_plain_patterns(spark):
     [
         ("mail jane.doe [at] mail3 (dot) example [dot] com now", "email", "jane.doe [at] mail3 (dot) example [dot] com"),
         ("mail jane at mail3 dot example dot com now", "email", "jane at mail3 dot example dot com"),
+        ("mail john.doe@example dot com now", "email", "john.doe@example dot com"),
+        ("mail john@mail dot example dot com now, the dot com boom", "email", "john@mail dot example dot com"),
         ("é jаne@exаmple.com é", "email", "jаne@exаmple.com"),
         ("call +1 five five five one two three four five six seven ok", "phone", "+1 five five five one two three four five six seven"),
         ("card ４１１１ １１１１ １１１１ １１１１.", "card", "４１１１ １１１１ １１１１ １１１１"),
@@ -147,6 +149,12 @@ def test_clean_text_has_no_disguised_spans():
         assert pii.find_personal(text) == ([], [])
 
 
+def test_spelled_points_of_prose_beside_a_real_at():
+    for text in ("Ask @anna dot com or me @ noon dot net.", "Polka dot dresses @ home; 10 dot 20 @ 30", "a@" + "b." * 50_000 + " dot"):
+        assert pii.disguised_spans(text, pii.plain_spans(text)) == []
+    assert pii.find_personal("jane@example.com has 10 dot 20 dot 30 dot 40 and polka dots")[1] == []
+
+
 # --- urls
 
 
