@@ -25,8 +25,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: One run of base64, or lines of it as PEM bodies have them.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}(?![A-Za-z0-9+/_=-])")
+#: How the base64 of a key begins: a DER sequence of a length, an SSH type or the OpenSSH magic.
+HEAD = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{2})|AAAA[A-D]|b3BlbnNzaC1rZXktdjEA")
+#: A line of base64 to the dashes of PEM, and what stands between lines: a line end, also an escaped one, and indentation.
+LINE = re.compile(r"(?:[A-Za-z0-9+/_]++|-(?!----))++")
+LINE_END = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\++r)?\\++n)[\x20\t]*+")
+#: In PEM on one line also blanks.
+LINE_END_OR_BLANK = re.compile(rf"{LINE_END.pattern}|\x20+")
+IN_BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+#: How many strings an SSH public key has.
+SSH_STRINGS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 #: Object identifiers of key algorithms, as DER holds them: rsaEncryption, ecPublicKey, X25519 to Ed448, dsa.
@@ -101,6 +109,64 @@ def ssh_strings(data: bytes, at: int, count: int | None) -> bool:
     return seen == count if count is not None else seen >= 2
 
 
+def key_size(data: bytes) -> int | None:
+    """How many bytes the key has that begins in data; if data is too short to tell, how many are needed to read on."""
+    if data[:1] == b"0":
+        n = data[1] & 0x7F if data[1] & 0x80 else 0
+        return 2 + data[1] if data[1] < 0x80 else 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else None
+    if data[:6] == b"openss":
+        at, left, keys = 15, 3, True
+    elif data[:3] == b"\0\0\0":
+        if len(data) < 4 + data[3]:
+            return 4 + data[3]
+        if (left := SSH_STRINGS.get(data[4 : 4 + data[3]])) is None:
+            return None
+        at, keys = 0, False
+    else:
+        return None
+    while left:
+        if at + 4 > len(data):
+            return at + 4
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        left -= 1
+        if keys and not left:
+            if at + 4 > len(data):
+                return at + 4
+            left, at, keys = 1 + int.from_bytes(data[at : at + 4], "big"), at + 4, False
+    return at
+
+
+def key_at(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the key whose base64 begins at a place, with its padding; its own lengths say where it ends.
+
+    Lines are joined over line ends, escaped ones too, and any indentation. An
+    SSH key of another type ends with its run.
+    """
+    between = LINE_END_OR_BLANK if text[max(0, start - 40) : start].rstrip(" ").endswith("-----") else LINE_END
+    lines, chars, need, at = [], 0, 8, start
+    while True:
+        while chars < need and (m := LINE.match(text, at)):
+            lines.append(m[0])
+            chars += len(m[0])
+            end, at = m.end(), (gap.end() if (gap := between.match(text, m.end())) else len(text))
+        if chars < need and need < 1 << 62:
+            return None
+        if (data := unbase64(body[: len(body) - (len(body) % 4 == 1)] if (body := "".join(lines)) else "")) is None:
+            return None
+        size = key_size(data) if need < 1 << 62 else len(data)
+        if size is None and data[:3] == b"\0\0\0" and re.match(rb"ssh-|ecdsa-", data[4:]):
+            need = 1 << 62
+        elif size is None:
+            return None
+        elif size > len(data):
+            need = max(chars + 1, -(-size * 4 // 3))
+        elif kind := key_kind(data[:size]):
+            end -= chars - min(chars, -(-size * 4 // 3))
+            return kind, end + len(re.match("={0,2}", text[end : end + 2])[0])
+        else:
+            return None
+
+
 def unbase64(text: str) -> bytes | None:
     text = text.replace("\r", "").replace("\n", "").rstrip("=").translate({45: 43, 95: 47})
     try:
@@ -128,15 +194,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if is_token(m[0])]
+    free = 0
+    for m in HEAD.finditer(text):
+        a = m.start()
+        if a >= free and (not a or text[a - 1] not in IN_BASE64 or text[a - 5 : a] == "-----" or text[a - 2 : a] in ("\\n", "\\r", "\\t")) and (found := key_at(text, a)):
+            free = found[1]
+            out.append((found[0], a, free))
     if max(map(len, text.split()), default=0) >= 40:
-        for m in BASE64.finditer(text):
-            # a body of lines may be followed by a word that looks like one more line
-            lines = m[0].splitlines()
-            for n in range(len(lines), max(len(lines) - 2, 0), -1):
-                part = m[0] if n == len(lines) else m[0][: m[0].rindex(lines[n])].rstrip("\r\n")
-                if (data := unbase64(part)) and (kind := key_kind(data)):
-                    out.append((kind, m.start(), m.start() + len(part)))
-                    break
         for m in HEX_KEY.finditer(text):
             if kind := key_kind(bytes.fromhex(m[0])):
                 out.append((kind, m.start(), m.end()))

@@ -79,6 +79,25 @@ def test_secrets_spans():
     assert secrets.redact("nothing here") == "nothing here"
 
 
+def test_keys_in_other_wrappings():
+    short = tlv(0x30, number(0) + tlv(0x30, tlv(6, bytes.fromhex("2b6570"))) + tlv(4, tlv(4, bytes(range(32)))))
+    ssh = b"openssh-key-v1\0" + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1) + struct.pack(">I", 51) + bytes(51) + struct.pack(">I", 136) + bytes(136)
+    public = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-rsa", b"\1\0\1", bytes(range(1, 256))))
+    for key, kind in ((rsa_key(3), "private_key"), (short, "private_key"), (ssh, "private_key"), (public, "public_key")):
+        whole = base64.b64encode(key).decode()
+        lines = [whole[k : k + 64] for k in range(0, len(whole), 64)]
+        bare = "\n".join(lines).rstrip("=")
+        pem = lambda sep, lines=lines: f"-----BEGIN PRIVATE KEY-----{sep}{sep.join(lines)}{sep}-----END PRIVATE KEY-----"
+        cases = {f'{{"key": "{pem(sep)}"}}': sep.join(lines) for sep in (r"\n", r"\r\n", r"\\n", "", " ", "\r\n", "\n    ", "\n\t")}
+        cases |= {f"{bare}\none\ntwo\nthree\nfour": bare, f"x: {whole} and more": whole, f"{bare}\n{bare}\nend": None}
+        for text, want in cases.items():
+            found = [(k, text[a:b]) for k, a, b in secrets.confirmed_spans(text)]
+            assert found == ([(kind, want)] if want else [(kind, bare)] * 2), text
+            assert lines[0] not in secrets.redact(text) and lines[-1] not in secrets.redact(text)
+        for bad in (whole[:-8], f"x{whole}", whole[4:], f"{lines[0]}\n\n{whole[64:]}" if len(lines) > 1 else ""):
+            assert secrets.confirmed_spans(bad) == []
+
+
 def test_secrets_base_equals_plain_patterns(spark):
     r = random.Random(2)
     parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "=", ":", "AKIA", "ABCD1234EFGH5678", "abcdef0123456789", "a1b2", "\n", "é", "ſecret", "xyz_.-/+=", "words "]
