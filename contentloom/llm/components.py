@@ -24,6 +24,9 @@ def _stars(pair: DataFrame) -> bool:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link: the least node that links reach from it.
 
+    Links with a null end, from a node to itself or repeated say nothing new; an
+    empty table gives an empty one.
+
     Links are only joined and reduced to minima, so a node with very many
     links is no more than many rows. Every round ends in a checkpoint.
     """

@@ -12,15 +12,19 @@ outside of any set it links with. From this follow, losing no link:
    ties large groups of near copies together without all their pairs.
 3. All sets are ordered globally (rare shingles first, by a sketch of counts of
    fixed size, then by hash). Two sets that link share a member among the first
-   n // 4 + 1 of each. These prefixes are stored in tries; a search shares the
-   partial overlap of the members above a node, and leaves out subtrees that
-   cannot reach the overlap with what remains of the sets, or whose sets are
-   all in the searcher's group already. Bitmaps of the whole sets leave out what
-   differs in too many members; what remains is verified on whole sets. Before
+   n // 4 + 1 of each. Each member of such a prefix brings the next ones with
+   it, up to DEPTH, and these paths are stored in tries by their first member. A
+   search starts at the nodes of a member, counts the overlap on its way down,
+   and leaves a subtree as soon as the overlap so far and what remains of either
+   set cannot reach what linked sets need, or if all of it is in the searcher's
+   group already. Two sets whose members before the first one are equal have
+   met there. Bitmaps of the whole sets leave out what
+   they can prove to be too far apart. Until the last round, in which
    all candidates are, the nearest one in each other group is, as most groups
    that link are tied by it and need no further comparison.
 
 Shingles are compared as 64-bit hashes; equal sets by 128 bits and their size.
+Classes that may link are numbered, and known by their number from then on.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ RANGE_TOKENS = 1 << 20
 GROUP_ENTRIES = 1 << 18
 #: A token with more entries is dealt in pairs of blocks of about this size.
 BLOCK = 1 << 11
+#: Members of a path of a trie; deeper ones would only prune more.
+DEPTH = 8
 SKETCH = 1 << 20
 #: Up to so many rows (24 bytes each) the ids of remaining documents are broadcast.
 BROADCAST_ROWS = 500_000
@@ -101,8 +107,22 @@ def _shared(tokens: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens, tags, for_each
 
 
+def _packed(keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """(key, the columns' values of that key as bytes) for each key."""
+    order = np.argsort(keys, kind="stable")
+    cuts = [*np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order)]
+    return [(int(keys[order[a]]), *(_blob(x[order[a:b]]) for x in columns)) for a, b in pairwise(cuts)]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(3)], names=names)
+
+
 def _dealing(bits: int) -> Callable:
-    """Rows (r, tokens, tags) by hash range; what is shared inside of a batch is settled here (tag 0), so a common token is one entry a batch."""
+    """Rows (r, tokens, tags) by hash range; what is shared inside of a batch is settled here (tag 0), so a common token is one entry a batch.
+
+    What is settled goes to the ranges from 1 << bits on, which are of sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts, tags):
@@ -110,13 +130,8 @@ def _dealing(bits: int) -> Callable:
             marks = np.unique(tokens[shared])
             credited, credit = np.unique(tags[shared], return_counts=True)
             tokens, tags = np.concatenate([tokens[~shared], marks]), np.concatenate([tags[~shared], np.zeros(len(marks), np.int64)])
-            rows = []
-            for keys, x, y, base in ((_ranges(tokens, bits), tokens, tags, 0), (_ranges(credited.view(U64), bits), credit.astype(U64), credited, 1 << bits)):
-                order = np.argsort(keys, kind="stable")
-                cuts = [*np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order)]
-                for a, b in pairwise(cuts):
-                    rows.append((base + int(keys[order[a]]), _blob(x[order[a:b]]), _blob(y[order[a:b]])))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["r", "tokens", "tags"])
+            rows = _packed(_ranges(tokens, bits), tokens, tags)
+            return _batch(rows + _packed((1 << bits) + _ranges(credited.view(U64), bits), credit.astype(U64), credited), ["r", "tokens", "tags"])
 
         parts, tags, held = [], [], 0
         for batch in batches:
@@ -135,31 +150,44 @@ def _dealing(bits: int) -> Callable:
 
 
 def _credits(bits: int) -> Callable:
+    """Of one range: how many members of each set another set has as well, packed by ranges of sets."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         first = np.concatenate([np.frombuffer(x, U64) for x in table["tokens"].to_pylist()])
         tags = np.concatenate([np.frombuffer(x, np.int64) for x in table["tags"].to_pylist()])
         if key[0].as_py() >= 1 << bits:
-            return pa.table({"s1": tags, "credit": first.astype(np.int64)})
-        _, tags, shared = _shared(first, tags)
-        credited, credit = np.unique(tags[shared & (tags != 0)], return_counts=True)
-        return pa.table({"s1": credited, "credit": credit.astype(np.int64)})
+            credited, at = np.unique(tags, return_inverse=True)
+            credit = np.bincount(at, first.astype(np.float64)).astype(np.int64)
+        else:
+            _, tags, shared = _shared(first, tags)
+            credited, credit = np.unique(tags[shared & (tags != 0)], return_counts=True)
+        rows = _packed(_ranges(credited.view(U64), bits), credited, credit.astype(np.int32))
+        return pa.Table.from_batches([_batch(rows, ["b", "sets", "credit"])])
 
     return run
 
 
-SETS = "s1 long, n long, ratio double, members binary, mins array<long>"
+def _totals(table: pa.Table) -> pa.Table:
+    """Of one range of sets: the credit of each."""
+    sets = np.concatenate([np.frombuffer(x, np.int64) for x in table["sets"].to_pylist()])
+    credit = np.concatenate([np.frombuffer(x, np.int32) for x in table["credit"].to_pylist()])
+    sets, at = np.unique(sets, return_inverse=True)
+    return pa.table({"s1": sets, "credit": np.bincount(at, credit).astype(np.int64)})
+
+
+SETS = "cid long, n long, ratio double, members binary, mins array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, s1, s2, ratio -> the sets of those rows that have the signature."""
+    """cid, text, s1, s2, ratio -> the sets of those rows that have the signature."""
     salts = [mix(np.array([k + 1], U64))[0] for k in range(CENTRES)]
     for batch in batches:
         rows = []
-        s1, s2, ratio = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        cid, s1, s2, ratio = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
         for k, members in shingle_sets(batch.column(1), SHINGLE):
             if len(members) and signature(members) == (s1[k], s2[k]):
                 mins = [int((mix(members ^ salt).min()).astype(np.int64)) for salt in salts]
-                rows.append((s1[k], len(members), ratio[k], _blob(members), mins))
+                rows.append((cid[k], len(members), ratio[k], _blob(members), mins))
                 if len(rows) >= 500:
                     yield _rows(rows)
                     rows = []
@@ -169,7 +197,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(rows: list) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["s1", "n", "ratio", "members", "mins"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["cid", "n", "ratio", "members", "mins"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +214,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
-    one = sets.select(F.col("s1").alias("a"), F.col("members").alias("left"))
-    two = sets.select(F.col("s1").alias("b"), F.col("members").alias("right"))
+    one = sets.select(F.col("cid").alias("a"), F.col("members").alias("left"))
+    two = sets.select(F.col("cid").alias("b"), F.col("members").alias("right"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long").distinct()
 
 
@@ -220,23 +248,36 @@ def sketch(sets: DataFrame) -> np.ndarray:
     return out
 
 
+ENTRIES = "token long, before long, after binary, pos int, cid long"
+
+
 def _prefixes(counts) -> Callable:
-    """s1, members -> an entry for each of the first n // 4 + 1 members in the global order that may be shared."""
+    """cid, members -> an entry for each of the first n // 4 + 1 members in the global order that may be shared.
+
+    token has the quarter power of two of the member's count in its high bits
+    and its hash below, so tokens are ordered as the members are. before is the
+    token before it (-1 for none), after the next ones of the prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            parts = []
+            parts, after = [], []
             for k, x in enumerate(batch.column(1)):
                 members = np.frombuffer(x.as_buffer(), U64)
                 count = table[(members % U64(SKETCH)).astype(np.int64)]
-                first = np.lexsort((members, count))[: len(members) // 4 + 1]
-                at = np.flatnonzero(count[first] > 1)
-                parts.append((members[first[at]].view(np.int64), at.astype(np.int32), np.full(len(at), k)))
+                rank = np.floor(4 * np.log2(np.maximum(count, 1))).astype(np.int64)
+                tokens = np.where(count > 1, (rank + 1) << 56, 0) | (members >> U64(8)).astype(np.int64)
+                tokens = np.sort(tokens)[: len(members) // 4 + 1]
+                at = np.flatnonzero(tokens >= 1 << 56)
+                if len(at):
+                    tokens = tokens[at]
+                    blob = _blob(tokens)
+                    after += [blob[8 * j : 8 * (j + DEPTH - 1)] for j in range(1, len(at) + 1)]
+                    parts.append((tokens, np.concatenate([[-1], tokens[:-1]]), at.astype(np.int32), np.full(len(at), k)))
             if parts:
-                owner = np.concatenate([p[2] for p in parts])
-                columns = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]))]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(owner))], names=["token", "pos", "s1"])
+                token, before, pos, owner = (np.concatenate([p[j] for p in parts]) for j in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(before), pa.array(after, pa.binary()), pa.array(pos), batch.column(0).take(pa.array(owner))], names=["token", "before", "after", "pos", "cid"])
 
     return run
 
@@ -262,55 +303,57 @@ def folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         maps = [_blob(bitmap(np.frombuffer(x.as_buffer(), U64))) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["s1", "n", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["cid", "n", "bitmap"])
 
 
 class Node:
-    __slots__ = ("above", "children", "component", "ends", "hi", "lo", "rest", "token")
+    __slots__ = ("children", "component", "ends", "hi", "lo", "rest")
 
-    def __init__(self, token, above):
-        self.token, self.above, self.children, self.ends = token, above, {}, []
-        self.lo, self.hi, self.rest, self.component = 1 << 62, 0, 0, None
+    def __init__(self, component):
+        self.children, self.ends, self.component = {}, [], component
+        self.lo, self.hi, self.rest = 1 << 62, 0, 0
 
 
 class Trie:
-    """Sets by their tokens in global order; each node knows, of the sets below, sizes, the most that can follow, and the component if there is only one."""
+    """Paths of tokens in the global order; each node knows, of the sets below, sizes, the most that can follow it, and the component if there is only one."""
 
     def __init__(self):
-        self.root, self.by_token = Node(None, None), {}
-
-    def add(self, item: int, tokens: list[int], places: list[int], n: int, component: int) -> None:
-        node = self.root
-        for token, place in zip(tokens, places, strict=True):
-            if token not in node.children:
-                node.children[token] = below = Node(token, node)
-                self.by_token.setdefault(token, []).append(below)
-                below.component = component
-            node = node.children[token]
-            node.lo, node.hi = min(node.lo, n), max(node.hi, n)
-            node.rest = max(node.rest, n - place - 1)
+        self.tops: dict[int, dict[int, Node]] = {}
+
+    def add(self, item: int, before: int, path: list[int], place: int, n: int, component: int) -> None:
+        """place is that of the path's first token in the set of n."""
+        level, key = self.tops.setdefault(path[0], {}), before
+        for depth in range(len(path)):
+            if depth:
+                level, key = node.children, path[depth]  # noqa: F821
+            if (node := level.get(key)) is None:
+                node = level[key] = Node(component)
+            node.lo, node.hi, node.rest = min(node.lo, n), max(node.hi, n), max(node.rest, n - place - depth - 1)
             if node.component != component:
                 node.component = None
         node.ends.append(item)
 
-    def search(self, tokens: list[int], places: list[int], n: int, component: int) -> Iterator[int]:
-        """Sets of other components that share a token and can reach the overlap from their first shared token on."""
-        own = set(tokens)
-        for token, place in zip(tokens, places, strict=True):
-            left = n - place - 1
-            for top in self.by_token.get(token, ()):
-                above = top.above
-                while above is not None and above.token not in own:
-                    above = above.above
-                if above is not None:
-                    continue  # their first shared token is further up, where they were met
-                stack = [top]
-                while stack:
-                    node = stack.pop()
-                    if node.component == component or 4 * node.hi < 3 * n or 3 * node.lo > 4 * n or 1 + min(left, top.rest) < need(n, max(node.lo, -(-3 * n // 4))):
-                        continue
-                    yield from node.ends
-                    stack.extend(node.children.values())
+    def search(self, before: int, path: list[int], place: int, n: int, component: int) -> Iterator[int]:
+        """Sets of other components that have the path's first token, unless the tokens that follow prove that they cannot link.
+
+        That holds for sets that share no earlier token; others have met there,
+        as those surely have whose tokens before are equal.
+        """
+        least, most = -(-3 * n // 4), 4 * n // 3
+        stack = [(path[0], top, 0, 0) for key, top in self.tops.get(path[0], {}).items() if key != before or key < 0]
+        while stack:
+            token, node, k, overlap = stack.pop()
+            if node.component == component or node.hi < least or node.lo > most:
+                continue
+            while k < len(path) and path[k] < token:
+                k += 1
+            if k < len(path):  # else the token may be among those that the path does not tell
+                if path[k] == token:
+                    k, overlap = k + 1, overlap + 1
+                if overlap + min(n - place - k, node.rest) < need(n, max(node.lo, least)):
+                    continue
+            yield from node.ends
+            stack.extend((t, child, k, overlap) for t, child in node.children.items())
 
 
 class Bitmaps:
@@ -337,7 +380,7 @@ class Bitmaps:
 
 
 def _tries(best: str) -> Callable:
-    """Entries (token, pos, s1, component, side) and sets (s1, n, bitmap) of one group -> candidate pairs (a, b, component, apart).
+    """Entries (ENTRIES, component, side) and sets (cid, n, bitmap) of one group -> candidate pairs (a, b, component, apart).
 
     side 0: all with all; otherwise blocks 1 and 2 of a common token, each with
     the other. best leaves only the nearest candidate of a set ("set"), or its
@@ -345,32 +388,29 @@ def _tries(best: str) -> Callable:
     """
 
     def run(entries: pa.Table, sets: pa.Table) -> pa.Table:
-        pos, s1 = entries["pos"].to_numpy(), entries["s1"].to_numpy()
-        order = np.lexsort((pos, s1))
-        token, pos, s1, component, side = (entries[c].to_numpy()[order].tolist() for c in ("token", "pos", "s1", "component", "side"))
-        sizes = dict(zip(sets["s1"].to_pylist(), zip(sets["n"].to_pylist(), sets["bitmap"].to_pylist(), strict=True), strict=True))
-        items: dict[tuple, list] = {}
-        for k in range(len(s1)):
-            item = items.setdefault((s1[k], side[k]), [[], [], sizes[s1[k]][0], component[k], side[k], s1[k]])
-            if not item[0] or item[0][-1] != token[k]:
-                item[0].append(token[k])
-                item[1].append(pos[k])
-        listed = list(items.values())
-        trie, maps = Trie(), Bitmaps([sizes[item[5]][1] for item in listed])
-        ids, n, components_ = (np.array([item[k] for item in listed], np.int64) for k in (5, 2, 3))
-        for i, item in enumerate(listed):
-            if item[4] < 2:
-                trie.add(i, *item[:4])
+        sizes = dict(zip(sets["cid"].to_pylist(), zip(sets["n"].to_pylist(), sets["bitmap"].to_pylist(), strict=True), strict=True))
+        items: dict[int, list] = {}  # a set's number -> its size, component, side and paths
+        for token, before, after, place, cid, component, side in zip(*(entries[c].to_pylist() for c in ("token", "before", "after", "pos", "cid", "component", "side")), strict=True):
+            items.setdefault(cid, [sizes[cid][0], component, side, []])[3].append((before, [token, *np.frombuffer(after, np.int64).tolist()], place))
+        trie, maps = Trie(), Bitmaps([sizes[cid][1] for cid in items])
+        ids = np.fromiter(items, np.int64, len(items))
+        n, components_ = (np.array([item[k] for item in items.values()], np.int64) for k in (0, 1))
+        for i, (size, component, side, paths) in enumerate(items.values()):
+            if side < 2:
+                for path in paths:
+                    trie.add(i, *path, size, component)
         out = [(np.zeros(0, np.int64),) * 4]
-        for i, item in enumerate(listed):
-            if item[4] == 1:
+        for i, (cid, (size, component, side, paths)) in enumerate(items.items()):
+            if side == 1:
                 continue
-            met = np.unique(np.fromiter(trie.search(*item[:4]), np.int64))
-            met = met[(components_[met] != item[3]) & (ids[met] > item[5]) if item[4] == 0 and not best else components_[met] != item[3]]
-            met = met[4 * np.minimum(n[met], item[2]) >= 3 * np.maximum(n[met], item[2])]
+            met = np.unique(np.fromiter((j for path in paths for j in trie.search(*path, size, component)), np.int64))
+            met = met[components_[met] != component]
+            if side == 0 and not best:
+                met = met[ids[met] > cid]
+            met = met[4 * np.minimum(n[met], size) >= 3 * np.maximum(n[met], size)]
             if len(met):
                 apart = maps.differ(i, met)
-                good = apart <= n[met] + item[2] - 2 * need(n[met], item[2])
+                good = apart <= n[met] + size - 2 * need(n[met], size)
                 met, apart = met[good], apart[good]
             if len(met) and best:
                 near = np.lexsort((ids[met], apart, components_[met])) if best == "component" else np.lexsort((ids[met], apart))
@@ -378,89 +418,116 @@ def _tries(best: str) -> Callable:
                 first = np.flatnonzero(np.diff(components_[met], prepend=components_[met[0]] - 1)) if best == "component" else slice(1)
                 met, apart = met[first], apart[first]
             if len(met):
-                out.append((np.full(len(met), item[5]), ids[met], components_[met], apart))
+                out.append((np.full(len(met), cid), ids[met], components_[met], apart))
         a, b, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"a": a, "b": b, "component": c, "apart": d})
 
     return run
 
 
-def linkable(n: int, m: int) -> bool:
-    return 4 * min(n, m) >= 3 * max(n, m)
-
-
 def candidates(entries: DataFrame, bitmaps: DataFrame, labels: DataFrame, best: str) -> DataFrame:
     """Pairs (a, b) of sets of different components (labels: node, component) that share a member of their prefixes and may link.
 
-    With best only the nearest by bitmap, of each set or of each set and other component.
+    With best only the nearest by bitmap, of each set or of each set and other
+    component. The sets of a common token are dealt in blocks; those of its
+    largest component need not meet each other, so their blocks meet only those
+    of the others.
     """
-    known = entries.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    known = entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     tokens = known.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("entries"))
     tokens = checkpoint(tokens.where("least <> most").select(F.col("token").alias("t"), "entries"))
     total = tokens.agg(F.sum("entries")).first()[0] or 0
     groups = max(1, total // GROUP_ENTRIES)
-    kept = known.join(tokens, F.col("token") == F.col("t"))
-    columns = ["token", "pos", "s1", "component"]
-    common = F.col("entries") > BLOCK
-    rare = kept.where(~common).select(*columns, F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    blocks = F.ceil(F.col("entries") / BLOCK).cast("int")
-    often = kept.where(common).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
-    often = often.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(i == j, 0).when(F.col("own") == i, 1).otherwise(2)
-    often = often.select(*columns, F.col("token").alias("g"), (i + 1).alias("i"), (j + 1).alias("j"), side.alias("side"))
-    dealt = checkpoint(rare.unionByName(often))
-    there = dealt.select(F.col("g").alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("s1").alias("ts")).distinct()
-    there = there.join(bitmaps, F.col("ts") == F.col("s1")).select("tg", "ti", "tj", "s1", "n", "bitmap")
+    columns = ["token", "before", "after", "pos", "cid", "component"]
+    rare = known.join(tokens.where(F.col("entries") <= BLOCK), F.col("token") == F.col("t"))
+    dealt = rare.select(*columns, F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    common = tokens.where(F.col("entries") > BLOCK)
+    if not common.isEmpty():
+        often = checkpoint(known.join(small(common), F.col("token") == F.col("t")).select(*columns, "entries"))
+        largest = often.groupBy("token", "component", "entries").agg(F.count("*").alias("n")).groupBy("token", "entries").agg(F.max(F.struct("n", "component")).alias("c"))
+        largest = checkpoint(largest.select(F.col("token").alias("t"), F.col("c.component").alias("large"), F.ceil((F.col("entries") - F.col("c.n")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("c.n") / BLOCK).cast("int").alias("blocks")))
+        often = often.join(small(largest), F.col("token") == F.col("t"))
+        inside = F.col("component") == F.col("large")
+        spread = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+        often = often.withColumn("own", F.when(inside, F.col("others") + spread("blocks")).otherwise(spread("others")))
+        often = often.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        side = F.when(i == j, 0).when(F.col("own") == i, 1).otherwise(2)
+        dealt = dealt.unionByName(often.select(*columns, F.col("token").alias("g"), (i + 1).alias("i"), (j + 1).alias("j"), side.alias("side")))
+    dealt = checkpoint(dealt)
+    there = dealt.select(F.col("g").alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("cid").alias("ts")).distinct()
+    there = there.join(bitmaps, F.col("ts") == F.col("cid")).select("tg", "ti", "tj", "cid", "n", "bitmap")
     found = dealt.groupBy("g", "i", "j").cogroup(there.groupBy("tg", "ti", "tj")).applyInArrow(_tries(best), "a long, b long, component long, apart long")
     if best:
         found = found.groupBy("a", *["component"] * (best == "component")).agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def tied(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after more links (a, b): only what the links tie is worked out anew."""
+    ends = links
+    for end in ("a", "b"):
+        label = labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = ends.join(label, end, "left")
+    new = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    new = checkpoint(new.select(F.col("node").alias("old"), F.col("component").alias("new")))
+    moved = labels.join(small(new), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    first = new.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return checkpoint(moved.unionByName(first))
+
+
 def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach. A null or empty text
     has no shingles and links with nothing: its component is its own id. A
     null doc_id takes no part in links and has a null component. Rows that
-    repeat an id with another text each have their own set. Other columns are
-    not read.
+    repeat an id with another text each have their own set. Texts of any length
+    are read whole; one is a set of 8 bytes a word in a task. doc_id is a whole
+    number, given back as long. An empty table gives an empty result. Other
+    columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = checkpoint(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long"))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    classes = checkpoint(signed.where(~alone).groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     total = signed.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(total * 2 // 5 // RANGE_TOKENS).bit_length())
-    credits = docs.where("doc_id IS NOT NULL").mapInArrow(_dealing(bits), "r long, tokens binary, tags binary").groupBy("r").applyInArrow(_credits(bits), "s1 long, credit long").groupBy("s1").agg(F.sum("credit").alias("credit"))
+    credits = docs.where("doc_id IS NOT NULL").mapInArrow(_dealing(bits), "r long, tokens binary, tags binary")
+    credits = credits.groupBy("r").applyInArrow(_credits(bits), "b long, sets binary, credit binary").groupBy("b").applyInArrow(_totals, "s1 long, credit long")
     out_of = F.least("n", F.floor(F.col("n") / 4) + F.greatest(F.lit(1), F.floor((3 * F.col("n") + 19) / 20))) - F.col("credit")
     left = classes.join(credits, "s1").where(out_of <= F.floor(F.col("n") / 4))
-    left = checkpoint(left.select("rep", "s1", "s2", (F.greatest(out_of, F.lit(0)) / F.col("n")).alias("ratio")))
-    ids = small(left, BROADCAST_ROWS)
-    sets = docs.join(ids, docs["doc_id"] == ids["rep"]).select("doc_id", "text", "s1", "s2", "ratio")
+    left = checkpoint(left.select("rep", "s1", "s2", "n", (F.greatest(out_of, F.lit(0)) / F.col("n")).alias("ratio"), F.monotonically_increasing_id().alias("cid")))
+    ids = small(left.select("rep", "s1", "s2", "ratio", "cid"), BROADCAST_ROWS)
+    sets = docs.join(ids, docs["doc_id"] == ids["rep"]).select("cid", "text", "s1", "s2", "ratio")
     sets = checkpoint(sets.mapInArrow(_sets, SETS))
-
-    keyed = sets.select("s1", "n", "ratio", F.posexplode("mins").alias("k", "low")).where(F.col("k") < centres)
-    centres = keyed.groupBy("k", "low").agg(F.min(F.struct("ratio", "s1", "n")).alias("c"))
-    near = keyed.join(centres, ["k", "low"]).where((F.col("s1") != F.col("c.s1")) & (4 * F.least("n", "c.n") >= 3 * F.greatest("n", "c.n")))
-    links = checkpoint(verify(near.select(F.col("c.s1").alias("a"), F.col("s1").alias("b")).distinct(), sets))
+    if not sets.groupBy("cid").count().where("count > 1").isEmpty():  # repeated rows
+        sets = checkpoint(sets.dropDuplicates(["cid"]))
+
+    keyed = sets.select("cid", "n", "ratio", F.posexplode("mins").alias("k", "low")).where(F.col("k") < centres)
+    found = keyed.groupBy("k", "low").agg(F.min(F.struct("ratio", "cid", "n")).alias("c"), F.count("*").alias("sets"))
+    found = checkpoint(found.where("sets > 1").select("k", "low", "c"))  # a table of its own: Spark can split a large group of the other side
+    near = keyed.join(found, ["k", "low"]).where((F.col("cid") != F.col("c.cid")) & (4 * F.least("n", "c.n") >= 3 * F.greatest("n", "c.n")))
+    links = checkpoint(verify(near.select(F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct(), sets))
+    labels = checkpoint(components(links))
     counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))
-    entries = checkpoint(sets.select("s1", "members").mapInArrow(_prefixes(counts), "token long, pos int, s1 long").distinct())
-    bitmaps = checkpoint(sets.select("s1", "n", "members").mapInArrow(_bitmaps, "s1 long, n long, bitmap binary").dropDuplicates(["s1"]))
+    entries = checkpoint(sets.select("cid", "members").mapInArrow(_prefixes(counts), ENTRIES))
+    bitmaps = checkpoint(sets.select("cid", "n", "members").mapInArrow(_bitmaps, "cid long, n long, bitmap binary"))
     for best in ROUNDS:
-        pairs = checkpoint(candidates(entries, bitmaps, components(links), best))
+        pairs = checkpoint(candidates(entries, bitmaps, labels, best))
         if pairs.isEmpty():
             break  # no round would have any
-        links = links.unionByName(checkpoint(verify(pairs, sets)))
+        labels = tied(labels, checkpoint(verify(pairs, sets)))
         release(docs.sparkSession)
 
-    roots = components(links).withColumnRenamed("node", "s1")
-    classes = classes.join(roots, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
-    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "component").select("s1", "s2", "n", "component_id")
-    found = signed.join(classes, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    linked_sets = checkpoint(left.join(labels, F.col("cid") == F.col("node")).select("s1", "s2", "n", "rep", "component"))
+    least = checkpoint(linked_sets.groupBy("component").agg(F.min("rep").alias("component_id")))
+    linked_sets = linked_sets.join(least, "component").select("s1", "s2", "n", "component_id")
+    classes = classes.join(linked_sets, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    joined = signed.where(~alone).join(checkpoint(classes), ["s1", "s2", "n"])  # a table of its own, as above
+    none = signed.where(alone).withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    return joined.select(*columns).unionByName(none.select(*columns))
 
 
 ORACLE_SQL = r"""

@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contentloom.llm import components, embedjoin, mixing, ngramjoin
+from contentloom.llm import components, embedjoin, mixing, ngramjoin, textkernel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -85,6 +87,33 @@ def test_ngram_join_without_centres_and_with_small_blocks(spark, monkeypatch):
     assert {tuple(r) for r in found} == brute_join(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tries_alone_meet_all_links_and_prune(seed):
+    """Every link is met by the trie without bitmaps and centres, and paths cut what only shares a member."""
+    rows = corpus(seed, 150)
+    sets = {}
+    for k, members in textkernel.shingle_sets(pa.array([t for _, t in rows]), 5):
+        sets.setdefault(members.tobytes(), k)
+    sets = {k: np.frombuffer(m, np.uint64) for m, k in sets.items() if m}
+    sketch = np.zeros(ngramjoin.SKETCH, np.int32)
+    for m in sets.values():
+        np.add.at(sketch, (m % np.uint64(ngramjoin.SKETCH)).astype(np.int64), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([m.tobytes() for m in sets.values()])], names=["cid", "members"])
+    (entries,) = ngramjoin._prefixes(types.SimpleNamespace(value=sketch))([batch])
+    table = pa.Table.from_batches([entries])
+    table = table.append_column("component", table["cid"]).append_column("side", pa.array([0] * len(table)))
+    blank = pa.table({"cid": list(sets), "n": [len(m) for m in sets.values()], "bitmap": [bytes(8)] * len(sets)})
+    met = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in ngramjoin._tries("")(table, blank).to_pylist()}
+    ids = sorted(sets)
+    links = {(i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if ngramjoin.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    assert len(links) > 50 and links <= met
+    by_token = {}
+    for token, cid in zip(table["token"].to_pylist(), table["cid"].to_pylist(), strict=True):
+        by_token.setdefault(token, set()).add(cid)
+    shared = {(i, j) for owners in by_token.values() for i in owners for j in owners if i < j and ngramjoin.linkable(len(sets[i]), len(sets[j]))}
+    assert len(met) < 0.8 * len(shared)
+
+
 def test_ngram_join_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "x" * 50_000), (7, "x" * 50_000), (None, "a b"), (8, "a b"), (8, "a b"), (9, "é b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("s1", F.lit(0)).withColumn("rep", F.lit(1))
@@ -93,8 +122,17 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngramjoin.ngram_join(docs.limit(0)).collect() == []
 
 
+def test_labels_after_more_links(spark):
+    r = random.Random(6)
+    links = [(r.randrange(90), r.randrange(90)) for _ in range(60)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    labels = ngramjoin.tied(components.components(frame(links[:30])), frame(links[30:]))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, components.components(frame(links)).collect()))
+
+
 def test_components(spark):
     r = random.Random(5)
+    assert components.components(spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a long, b long")).collect() == []
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 180)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(70)]
     found = {row[0]: row[1] for row in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     ids = {i for link in links for i in link if link[0] != link[1]}
