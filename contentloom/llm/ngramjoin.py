@@ -47,7 +47,7 @@ CENTRES = 3
 ROUNDS = ("set", "component", "")
 #: Tokens of one hash range at the first dealing; entries of one group of tries.
 RANGE_TOKENS = 1 << 20
-GROUP_ENTRIES = 1 << 18
+GROUP_ENTRIES = 1 << 16
 #: A token with more entries is dealt in pairs of blocks of about this size.
 BLOCK = 1 << 11
 #: Members of a path of a trie; deeper ones would only prune more.
@@ -310,22 +310,24 @@ class Node:
     __slots__ = ("children", "component", "ends", "hi", "lo", "rest")
 
     def __init__(self, component):
-        self.children, self.ends, self.component = {}, [], component
+        self.children, self.ends, self.component = None, [], component
         self.lo, self.hi, self.rest = 1 << 62, 0, 0
 
 
 class Trie:
-    """Paths of tokens in the global order; each node knows, of the sets below, sizes, the most that can follow it, and the component if there is only one."""
+    """Paths with the same first token, in the global order, by the token before; each node knows, of the sets below, sizes, the most that can follow it, and the component if there is only one."""
 
     def __init__(self):
-        self.tops: dict[int, dict[int, Node]] = {}
+        self.tops: dict[int, Node] = {}
 
     def add(self, item: int, before: int, path: list[int], place: int, n: int, component: int) -> None:
         """place is that of the path's first token in the set of n."""
-        level, key = self.tops.setdefault(path[0], {}), before
+        level, key = self.tops, before
         for depth in range(len(path)):
             if depth:
-                level, key = node.children, path[depth]  # noqa: F821
+                if node.children is None:  # noqa: F821
+                    node.children = {}
+                level, key = node.children, path[depth]
             if (node := level.get(key)) is None:
                 node = level[key] = Node(component)
             node.lo, node.hi, node.rest = min(node.lo, n), max(node.hi, n), max(node.rest, n - place - depth - 1)
@@ -334,13 +336,13 @@ class Trie:
         node.ends.append(item)
 
     def search(self, before: int, path: list[int], place: int, n: int, component: int) -> Iterator[int]:
-        """Sets of other components that have the path's first token, unless the tokens that follow prove that they cannot link.
+        """Sets of other components, unless the tokens that follow prove that they cannot link.
 
         That holds for sets that share no earlier token; others have met there,
         as those surely have whose tokens before are equal.
         """
         least, most = -(-3 * n // 4), 4 * n // 3
-        stack = [(path[0], top, 0, 0) for key, top in self.tops.get(path[0], {}).items() if key != before or key < 0]
+        stack = [(path[0], top, 0, 0) for key, top in self.tops.items() if key != before or key < 0]
         while stack:
             token, node, k, overlap = stack.pop()
             if node.component == component or node.hi < least or node.lo > most:
@@ -353,7 +355,8 @@ class Trie:
                 if overlap + min(n - place - k, node.rest) < need(n, max(node.lo, least)):
                     continue
             yield from node.ends
-            stack.extend((t, child, k, overlap) for t, child in node.children.items())
+            if node.children:
+                stack.extend((t, child, k, overlap) for t, child in node.children.items())
 
 
 class Bitmaps:
@@ -384,43 +387,53 @@ def _tries(best: str) -> Callable:
 
     side 0: all with all; otherwise blocks 1 and 2 of a common token, each with
     the other. best leaves only the nearest candidate of a set ("set"), or its
-    nearest in each other component ("component"); "" leaves all.
+    nearest in each other component ("component"); "" leaves all. One token's
+    trie is held at a time.
     """
 
     def run(entries: pa.Table, sets: pa.Table) -> pa.Table:
-        sizes = dict(zip(sets["cid"].to_pylist(), zip(sets["n"].to_pylist(), sets["bitmap"].to_pylist(), strict=True), strict=True))
-        items: dict[int, list] = {}  # a set's number -> its size, component, side and paths
-        for token, before, after, place, cid, component, side in zip(*(entries[c].to_pylist() for c in ("token", "before", "after", "pos", "cid", "component", "side")), strict=True):
-            items.setdefault(cid, [sizes[cid][0], component, side, []])[3].append((before, [token, *np.frombuffer(after, np.int64).tolist()], place))
-        trie, maps = Trie(), Bitmaps([sizes[cid][1] for cid in items])
-        ids = np.fromiter(items, np.int64, len(items))
-        n, components_ = (np.array([item[k] for item in items.values()], np.int64) for k in (0, 1))
-        for i, (size, component, side, paths) in enumerate(items.values()):
-            if side < 2:
-                for path in paths:
-                    trie.add(i, *path, size, component)
-        out = [(np.zeros(0, np.int64),) * 4]
-        for i, (cid, (size, component, side, paths)) in enumerate(items.items()):
-            if side == 1:
-                continue
-            met = np.unique(np.fromiter((j for path in paths for j in trie.search(*path, size, component)), np.int64))
-            met = met[components_[met] != component]
-            if side == 0 and not best:
-                met = met[ids[met] > cid]
-            met = met[4 * np.minimum(n[met], size) >= 3 * np.maximum(n[met], size)]
-            if len(met):
+        ids, at = np.unique(sets["cid"].to_numpy(), return_index=True)
+        n, maps = sets["n"].to_numpy()[at], Bitmaps(sets["bitmap"].take(pa.array(at)).to_pylist())
+        entries = entries.sort_by("token")
+        token, before, pos, component, side = (entries[c].to_numpy() for c in ("token", "before", "pos", "component", "side"))
+        item, after = np.searchsorted(ids, entries["cid"].to_numpy()), entries["after"]
+        components_ = np.zeros(len(ids), np.int64)
+        components_[item] = component
+        nearest: dict = {}
+        every = [np.zeros((3, 0), np.int64)]
+        for x, y in pairwise([*np.flatnonzero(np.diff(token, prepend=-1)), len(token)]):
+            rows = [
+                (i, (b, [t, *np.frombuffer(more, np.int64).tolist()], p, size, c), s)
+                for i, b, t, more, p, size, c, s in zip(*(z[x:y].tolist() for z in (item, before, token)), after[x:y].to_pylist(), *(z.tolist() for z in (pos[x:y], n[item[x:y]], component[x:y], side[x:y])), strict=True)
+            ]
+            trie = Trie()
+            for i, path, s in rows:
+                if s < 2:
+                    trie.add(i, *path)
+            for i, path, s in rows:
+                if s == 1 or not (met := list(trie.search(*path))):
+                    continue
+                met, size = np.array(met), n[i]
+                met = met[components_[met] != components_[i]]
+                if s == 0 and not best:
+                    met = met[met > i]
+                met = met[4 * np.minimum(n[met], size) >= 3 * np.maximum(n[met], size)]
+                if not len(met):
+                    continue
                 apart = maps.differ(i, met)
                 good = apart <= n[met] + size - 2 * need(n[met], size)
                 met, apart = met[good], apart[good]
-            if len(met) and best:
-                near = np.lexsort((ids[met], apart, components_[met])) if best == "component" else np.lexsort((ids[met], apart))
-                met, apart = met[near], apart[near]
-                first = np.flatnonzero(np.diff(components_[met], prepend=components_[met[0]] - 1)) if best == "component" else slice(1)
-                met, apart = met[first], apart[first]
-            if len(met):
-                out.append((np.full(len(met), cid), ids[met], components_[met], apart))
-        a, b, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"a": a, "b": b, "component": c, "apart": d})
+                if not best:
+                    every.append(np.stack([np.full(len(met), i), met, apart]))
+                    continue
+                for own, far, j in zip(components_[met].tolist(), apart.tolist(), met.tolist(), strict=True):
+                    key = (i, own) if best == "component" else i
+                    if (far, j) < nearest.get(key, (1 << 62,)):
+                        nearest[key] = (far, j)
+        if best:
+            every.append(np.array([(k[0] if best == "component" else k, j, far) for k, (far, j) in nearest.items()], np.int64).reshape(-1, 3).T)
+        found = np.unique(np.concatenate(every, axis=1), axis=1)
+        return pa.table({"a": ids[found[0]], "b": ids[found[1]], "component": components_[found[1]], "apart": found[2]})
 
     return run
 
