@@ -19,9 +19,9 @@ outside of any set it links with. From this follow, losing no link:
    set cannot reach what linked sets need, or if all of it is in the searcher's
    group already. Two sets whose members before the first one are equal have
    met there. Bitmaps of the whole sets leave out what
-   they can prove to be too far apart. Until the last round, in which
-   all candidates are, the nearest one in each other group is, as most groups
-   that link are tied by it and need no further comparison.
+   they can prove to be too far apart. Until the last round, in which all
+   candidates are verified, a set's nearest one is, as most groups that link are
+   tied by it and need no further comparison.
 
 Shingles are compared as 64-bit hashes; equal sets by 128 bits and their size.
 Classes that may link are numbered, and known by their number from then on.
@@ -43,11 +43,10 @@ from .textkernel import U64, mix, shingle_sets
 
 SHINGLE = 5
 CENTRES = 3
-#: A set meets only its nearest one first, then the nearest of each other component, then all that are left: the last round leaves out nothing.
-ROUNDS = ("set", "component", "")
-#: Tokens of one hash range at the first dealing; entries of one group of tries.
+#: Tokens of one hash range at the first dealing; entries of one group of tries, and how many groups there are at least.
 RANGE_TOKENS = 1 << 20
 GROUP_ENTRIES = 1 << 16
+LEAST_GROUPS = 64
 #: A token with more entries is dealt in pairs of blocks of about this size.
 BLOCK = 1 << 11
 #: Members of a path of a trie; deeper ones would only prune more.
@@ -382,12 +381,11 @@ class Bitmaps:
         return out
 
 
-def _tries(best: str) -> Callable:
-    """Entries (ENTRIES, component, side) and sets (cid, n, bitmap) of one group -> candidate pairs (a, b, component, apart).
+def _tries(nearest: bool) -> Callable:
+    """Entries (ENTRIES, component, side) and sets (cid, n, bitmap) of one group -> candidate pairs (a, b, apart).
 
     side 0: all with all; otherwise blocks 1 and 2 of a common token, each with
-    the other. best leaves only the nearest candidate of a set ("set"), or its
-    nearest in each other component ("component"); "" leaves all. One token's
+    the other. nearest leaves only the nearest candidate of a set. One token's
     trie is held at a time.
     """
 
@@ -399,7 +397,7 @@ def _tries(best: str) -> Callable:
         item, after = np.searchsorted(ids, entries["cid"].to_numpy()), entries["after"]
         components_ = np.zeros(len(ids), np.int64)
         components_[item] = component
-        nearest: dict = {}
+        least: dict[int, tuple[int, int]] = {}
         every = [np.zeros((3, 0), np.int64)]
         for x, y in pairwise([*np.flatnonzero(np.diff(token, prepend=-1)), len(token)]):
             rows = [
@@ -415,7 +413,7 @@ def _tries(best: str) -> Callable:
                     continue
                 met, size = np.array(met), n[i]
                 met = met[components_[met] != components_[i]]
-                if s == 0 and not best:
+                if s == 0 and not nearest:
                     met = met[met > i]
                 met = met[4 * np.minimum(n[met], size) >= 3 * np.maximum(n[met], size)]
                 if not len(met):
@@ -423,34 +421,31 @@ def _tries(best: str) -> Callable:
                 apart = maps.differ(i, met)
                 good = apart <= n[met] + size - 2 * need(n[met], size)
                 met, apart = met[good], apart[good]
-                if not best:
+                if not nearest:
                     every.append(np.stack([np.full(len(met), i), met, apart]))
-                    continue
-                for own, far, j in zip(components_[met].tolist(), apart.tolist(), met.tolist(), strict=True):
-                    key = (i, own) if best == "component" else i
-                    if (far, j) < nearest.get(key, (1 << 62,)):
-                        nearest[key] = (far, j)
-        if best:
-            every.append(np.array([(k[0] if best == "component" else k, j, far) for k, (far, j) in nearest.items()], np.int64).reshape(-1, 3).T)
+                elif len(met):
+                    least[i] = min(least.get(i, (1 << 62, 0)), min(zip(apart.tolist(), met.tolist(), strict=True)))
+        if nearest:
+            every.append(np.array([(i, j, far) for i, (far, j) in least.items()], np.int64).reshape(-1, 3).T)
         found = np.unique(np.concatenate(every, axis=1), axis=1)
-        return pa.table({"a": ids[found[0]], "b": ids[found[1]], "component": components_[found[1]], "apart": found[2]})
+        return pa.table({"a": ids[found[0]], "b": ids[found[1]], "apart": found[2]})
 
     return run
 
 
-def candidates(entries: DataFrame, bitmaps: DataFrame, labels: DataFrame, best: str) -> DataFrame:
+def candidates(entries: DataFrame, bitmaps: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of sets of different components (labels: node, component) that share a member of their prefixes and may link.
 
-    With best only the nearest by bitmap, of each set or of each set and other
-    component. The sets of a common token are dealt in blocks; those of its
-    largest component need not meet each other, so their blocks meet only those
-    of the others.
+    With nearest only the nearest of each set, by bitmap. The sets of a common
+    token are dealt in blocks; those of its largest component need not meet each
+    other, so their blocks meet only those of the others.
     """
     known = entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    tokens = known.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("entries"))
-    tokens = checkpoint(tokens.where("least <> most").select(F.col("token").alias("t"), "entries"))
+    tokens = known.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("before").alias("first"), F.max("before").alias("last"), F.count("*").alias("entries"))
+    tokens = tokens.where("least <> most AND (first <> last OR first < 0)")  # where all have the same token before, all have met there
+    tokens = checkpoint(tokens.select(F.col("token").alias("t"), "entries"))
     total = tokens.agg(F.sum("entries")).first()[0] or 0
-    groups = max(1, total // GROUP_ENTRIES)
+    groups = max(LEAST_GROUPS, total // GROUP_ENTRIES)
     columns = ["token", "before", "after", "pos", "cid", "component"]
     rare = known.join(tokens.where(F.col("entries") <= BLOCK), F.col("token") == F.col("t"))
     dealt = rare.select(*columns, F.pmod(F.xxhash64("token"), F.lit(groups)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
@@ -470,9 +465,9 @@ def candidates(entries: DataFrame, bitmaps: DataFrame, labels: DataFrame, best:
     dealt = checkpoint(dealt)
     there = dealt.select(F.col("g").alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("cid").alias("ts")).distinct()
     there = there.join(bitmaps, F.col("ts") == F.col("cid")).select("tg", "ti", "tj", "cid", "n", "bitmap")
-    found = dealt.groupBy("g", "i", "j").cogroup(there.groupBy("tg", "ti", "tj")).applyInArrow(_tries(best), "a long, b long, component long, apart long")
-    if best:
-        found = found.groupBy("a", *["component"] * (best == "component")).agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    found = dealt.groupBy("g", "i", "j").cogroup(there.groupBy("tg", "ti", "tj")).applyInArrow(_tries(nearest), "a long, b long, apart long")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -526,12 +521,14 @@ def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))
     entries = checkpoint(sets.select("cid", "members").mapInArrow(_prefixes(counts), ENTRIES))
     bitmaps = checkpoint(sets.select("cid", "n", "members").mapInArrow(_bitmaps, "cid long, n long, bitmap binary"))
-    for best in ROUNDS:
-        pairs = checkpoint(candidates(entries, bitmaps, labels, best))
-        if pairs.isEmpty():
-            break  # no round would have any
-        labels = tied(labels, checkpoint(verify(pairs, sets)))
+    nearest = True  # a set meets only its nearest one as long as most of these link; the last round leaves out nothing
+    while (met := (pairs := checkpoint(candidates(entries, bitmaps, labels, nearest))).count()):
+        links = checkpoint(verify(pairs, sets))
+        labels = tied(labels, links)
         release(docs.sparkSession)
+        if not nearest:
+            break
+        nearest = 2 * links.count() >= met
 
     linked_sets = checkpoint(left.join(labels, F.col("cid") == F.col("node")).select("s1", "s2", "n", "rep", "component"))
     least = checkpoint(linked_sets.groupBy("component").agg(F.min("rep").alias("component_id")))

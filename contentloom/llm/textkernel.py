@@ -38,12 +38,17 @@ def multipliers(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed)) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
-_SHORT = multipliers(4096, 1)
 _WORDS = multipliers(4096, 1 << 20)
+#: An odd number, its inverse modulo 2**64, and their powers as far as the longest usual piece needs them.
+ROOT = 0x9E3779B97F4A7C1D
 
 
-def _take(table: np.ndarray, n: int, seed: int) -> np.ndarray:
-    return table if n <= len(table) else multipliers(n, seed)
+def _powers(x: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(n, x, U64)]))
+
+
+_UP, _DOWN = _powers(ROOT, PIECE + 1), _powers(pow(ROOT, -1, 1 << 64), PIECE + 1)
+_LETTERS = mix(LOWER.astype(U64) + U64(1))
 
 
 def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -78,15 +83,18 @@ def words(data: np.ndarray, offsets: np.ndarray, wordly: np.ndarray = ~WHITE) ->
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, A-Z taken as a-z."""
+    """64-bit hashes of the words, A-Z taken as a-z: polynomials of their bytes, from running sums over the piece."""
     if not len(start):
         return np.zeros(0, U64)
-    lens = end - start
-    at = np.cumsum(lens) - lens
-    place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    letters = LOWER[data[place + np.repeat(start, lens)]].astype(U64) + U64(1)
-    letters *= _take(_SHORT, int(lens.max()), 1)[place]
-    return mix(np.add.reduceat(letters, at))
+    n = len(data)
+    up, down = (_UP, _DOWN) if n < len(_UP) else (_powers(ROOT, n), _powers(pow(ROOT, -1, 1 << 64), n))
+    sums = np.zeros(n + 1, U64)
+    terms = _LETTERS[data]
+    terms *= up[:n]
+    np.cumsum(terms, out=sums[1:])
+    found = sums[end] - sums[start]
+    found *= down[start]
+    return mix(found)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -103,7 +103,7 @@ def test_tries_alone_meet_all_links_and_prune(seed):
     table = pa.Table.from_batches([entries])
     table = table.append_column("component", table["cid"]).append_column("side", pa.array([0] * len(table)))
     blank = pa.table({"cid": list(sets), "n": [len(m) for m in sets.values()], "bitmap": [bytes(8)] * len(sets)})
-    met = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in ngramjoin._tries("")(table, blank).to_pylist()}
+    met = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in ngramjoin._tries(False)(table, blank).to_pylist()}
     ids = sorted(sets)
     links = {(i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if ngramjoin.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
     assert len(links) > 50 and links <= met
