@@ -1,19 +1,30 @@
 """Main text of web pages.
 
 Parser events of the standard library are turned into lines, one for each block
-of a page. A line knows its text, the tags met in it and the element it is in.
-Lines in elements that can't be content (scripts, menus, forms, and what its
-class, id or role calls an advert, a notice, a comment and the like) are left
-out. The text-to-tag ratio of the others is smoothed by a Gaussian and cut by a
-threshold between its two clusters; the lines above select the region: the
-article that holds most of their text, else the innermost element that holds
-REGION_SHARE of it. All lines of the region are kept, short ones too.
+of a page. A line knows its text, the tags met in it, how much of it is links,
+and the element it is in. The text-to-tag ratio of the lines is smoothed by a
+Gaussian, and a threshold between two clusters of its logarithms tells content
+lines from others. The content lines select what is kept:
+
+- the region: the article that holds half of their text at least, else the
+  innermost element that holds REGION_SHARE of it;
+- if that is the whole body, what stands from its first content line (or the
+  heading before it) to its last;
+- of the elements in a region, not those mostly of links, nor containers at its
+  edges, whose text is mostly on other lines;
+- of elements whose names leave it open what they are (a story-header, a
+  service-notice), those whose text is mostly on content lines.
+
+What remains is kept whole, short lines too. Tags and names that say for sure
+what is no content (scripts, forms, menus, adverts, comments) support this:
+lines in such elements are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,35 +42,66 @@ DROPPED = frozenset("script style noscript template iframe object svg canvas mat
 #: An opening tag that ends open elements of these names, unless one of the others is between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("article aside body button div footer form header html li main nav section table td th".split())
+#: Names of what is no content, as parts of a class or an id.
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|repl(?:y|ies)|respond|reader-comments?|side-?bar|nav|navbar|navigation|navi|menus?|breadcrumbs?|footer|header|masthead|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w+|signup|login|pagination|pager|widgets?|toolbar|skip-link|copyright|disclaimer|hidden|visually-hidden|sr-only)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|comments?|commentlist|disqus|repl(?:y|ies)|respond|reader-comments?|side-?bar|nav|navbar|navigation|navi|menus?|breadcrumbs?|footer|masthead|shar(?:e|ing)|social|newsletter|subscri\w+|signup|login|pagination|pager|toolbar|skip-link|visually-hidden|sr-only)(?:$|[\s_-])",
     re.I,
 )
+#: Names that are as sure if they stand alone, and in doubt as a part of another.
+ALONE = re.compile(r"(?:^|\s)(?:header|notices?|alert|banner|related|recommend\w*|widgets?|copyright|disclaimer|hidden)(?:$|\s)", re.I)
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:header|notices?|alert|banner|related|recommend\w*|widgets?|copyright|disclaimer|hidden)(?:$|[\s_-])", re.I)
 IN_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|sponsor\w*|promo\w*|related|repl(?:y|ies)|teaser)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers that say nothing of what they hold, and lists.
+PLAIN = frozenset("div section center details fieldset".split())
+LISTS = frozenset("ul ol dl dir table".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-ARTICLE, REST = 1, 0
+ARTICLE, DOUBT, REST = 1, 2, 0
 
 
 class Lines(HTMLParser):
-    """Collects (text parts, tags, element) for every block that is not dropped."""
+    """Collects (text, tags, length of links, element) for every block that is not dropped."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.above, self.kind = [-1], [REST]  # of every element: the one it is in, and whether it is an article
+        self.above, self.kind, self.tag = [-1], [REST], [""]  # of every element: the one it is in, what it is, its tag
         self.open: list[tuple[str, int, bool]] = []  # tag, element, whether dropped
-        self.lines: list[tuple[str, int, int]] = []
+        self.count: Counter = Counter()  # open elements by tag, all of them and those of the innermost scope
+        self.scopes: list[Counter] = [Counter()]
+        self.articles = 0
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
-        self.parts, self.tags = [], 0
+            self.lines.append((text, self.tags, self.linked, self.open[-1][1] if self.open else 0))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def dropped(self) -> bool:
         return bool(self.open) and self.open[-1][2]
 
+    def push(self, tag: str, element: int, drop: bool) -> None:
+        self.open.append((tag, element, drop))
+        self.count[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in SCOPE:
+            self.scopes.append(Counter())
+        self.articles += tag in BLOCKS and self.kind[element] == ARTICLE
+
+    def cut(self, k: int) -> list[tuple[str, int, bool]]:
+        """Ends the open elements from the k-th on."""
+        gone = self.open[k:]
+        for tag, element, _ in reversed(gone):
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.count[tag] -= 1
+            self.scopes[-1][tag] -= 1
+            self.articles -= tag in BLOCKS and self.kind[element] == ARTICLE
+        del self.open[k:]
+        return gone
+
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             if tag == "hr":
@@ -71,37 +113,44 @@ class Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self.flush()
-            if any(x[0] == "p" for x in self.open):
+            if self.scopes[-1]["p"]:
                 self.close_open({"p"}, SCOPE)
         if tag in CLOSES:
             self.close_open(*CLOSES[tag])
         self.tags += not block
         parent = self.open[-1] if self.open else ("", 0, False)
-        drop = parent[2] or self.not_content(tag, attrs)
+        kind = None if parent[2] else self.kind_of(tag, attrs)
         if block:
             self.above.append(parent[1])
-            self.kind.append(ARTICLE if tag in ("article", "main") and not drop else REST)
-            self.open.append((tag, len(self.above) - 1, drop))
+            self.kind.append(kind or REST)
+            self.tag.append(tag)
+            self.push(tag, len(self.above) - 1, kind is None)
         else:
-            self.open.append((tag, parent[1], drop))
+            self.push(tag, parent[1], kind is None)
 
-    def not_content(self, tag, attrs) -> bool:
-        if tag in DROPPED:
-            return True
-        if tag == "header":
-            return not any(self.kind[e] == ARTICLE for _, e, _ in self.open)
+    def kind_of(self, tag, attrs) -> int | None:
+        """What an element is; None if it is no content."""
+        if tag in DROPPED or tag == "header" and not self.articles:
+            return None
         if tag in ("html", "body", "main"):
-            return False
+            return ARTICLE if tag == "main" else REST
+        kind = ARTICLE if tag == "article" else REST
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and (IN_ARTICLE if tag in ("article", "h1", "h2", "h3", "h4", "h5", "h6") else NOT_CONTENT).search(value):
-                return True
+            if name in ("class", "id"):
+                own = tag == "article" or tag in HEADINGS
+                if (IN_ARTICLE if own else NOT_CONTENT).search(value) or not own and ALONE.search(value):
+                    return None
+                if not own and DOUBTFUL.search(value):
+                    kind = DOUBT
             if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+                return None
+        return kind
 
     def close_open(self, tags, until) -> None:
         """Ends the innermost open elements of tags, with what is in them, up to one of until."""
+        if not any(self.count[tag] for tag in tags):
+            return
         cut = None
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
@@ -111,10 +160,11 @@ class Lines(HTMLParser):
         if cut is not None:
             self.flush()
             # inline elements that were open stay open, as in browsers
-            kept = [x for x in self.open[cut:] if x[0] not in BLOCKS]
-            del self.open[cut:]
+            kept = [x for x in self.cut(cut) if x[0] not in BLOCKS]
             parent = self.open[-1] if self.open else ("", 0, False)
-            self.open += [(tag, parent[1], parent[2]) for tag, _, drop in kept if not drop or parent[2]]
+            for tag, _, drop in kept:
+                if not drop or parent[2]:
+                    self.push(tag, parent[1], parent[2])
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -125,16 +175,17 @@ class Lines(HTMLParser):
             self.flush()
         else:
             self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if tag not in BLOCKS and self.open[k][0] in SCOPE:
-                return
+        if (self.count if tag in BLOCKS or tag in SCOPE else self.scopes[-1])[tag]:
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == tag:
+                    self.cut(k)
+                    return
 
     def handle_data(self, data):
         if not self.dropped():
             self.parts.append(data)
+            if self.count["a"]:
+                self.linked += len(data.strip())
 
 
 def parsed(html: str) -> Lines:
@@ -171,6 +222,12 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def content_lines(ratio: np.ndarray) -> np.ndarray:
+    """Which lines are content, by their text-to-tag ratio."""
+    logs = np.log1p(smoothed(ratio))
+    return logs >= threshold(logs)
+
+
 def main_text(html: str | None) -> str:
     """The text of the page's main region: its blocks joined by a new line; empty for a null."""
     if not html:
@@ -178,31 +235,64 @@ def main_text(html: str | None) -> str:
     page = parsed(html)
     if not page.lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in page.lines], float))
-    content = ratio >= threshold(ratio)
-    held = np.zeros(len(page.above), np.int64)
-    for (text, _, element), good in zip(page.lines, content, strict=True):
-        held[element] += len(text) * good
-    own = held.copy()
-    for e in range(len(held) - 1, 0, -1):
-        own[page.above[e]] += own[e]
-    total = own[0]
-    articles = [e for e in range(len(held)) if page.kind[e] == ARTICLE and own[e]]
-    if articles and (most := max(own[e] for e in articles)) * 2 >= total:
-        region = max(e for e in articles if own[e] == most)
+    size = np.array([len(line[0]) for line in page.lines], np.int64)
+    content = content_lines(size / np.maximum(1, [line[1] for line in page.lines]))
+    element = np.array([line[3] for line in page.lines])
+    n = len(page.above)
+
+    def held(amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each element: its own lines' amounts, and those with all that is in it."""
+        own = np.bincount(element, amounts, n)
+        every = own.copy()
+        for e in range(n - 1, 0, -1):
+            every[page.above[e]] += every[e]
+        return own, every
+
+    every = held(size)[1]
+    own, good = held(size * content)
+    gone = np.zeros(n, bool)
+    for e in range(1, n):
+        gone[e] = gone[page.above[e]] or page.kind[e] == DOUBT and 2 * good[e] < every[e]
+    if gone.any():
+        content &= ~gone[element]
+        own, good = held(size * content)
+    articles = [e for e in range(n) if page.kind[e] == ARTICLE and good[e] and not gone[e]]
+    first, last = 0, len(content)
+    if articles and (most := max(good[e] for e in articles)) * 2 >= good[0]:
+        region = max(e for e in articles if good[e] == most)
     else:
-        region, at = 0, list(range(len(held)))
-        for e in at:
-            if own[e] >= REGION_SHARE * total and page.above[e] == region:
+        region = 0
+        for e in range(1, n):
+            if good[e] >= REGION_SHARE * good[0] and page.above[e] == region:
                 region = e
         # a single block is too narrow: its siblings belong to the same text
-        if region and own[region] == held[region]:
+        if region and good[region] == own[region]:
             region = page.above[region]
-    inside = np.zeros(len(held), bool)
+    inside = np.zeros(n, bool)
     inside[region] = True
-    for e in range(region + 1, len(held)):
-        inside[e] = page.above[e] >= 0 and inside[page.above[e]]
-    return "\n".join(text for text, _, element in page.lines if inside[element])
+    for e in range(region + 1, n):
+        inside[e] = inside[page.above[e]] and not gone[e]
+    at = np.flatnonzero(inside[element] & content)
+    if not len(at):
+        return ""
+    links = held(np.minimum(size, [line[2] for line in page.lines]))[1]
+    start, stop = at[0], at[-1] + 1
+    begin, end = np.full(n, len(content)), np.zeros(n, np.int64)  # of each element: the first line in it and the one behind the last
+    np.minimum.at(begin, element, np.arange(len(element)))
+    np.maximum.at(end, element, np.arange(1, len(element) + 1))
+    for e in range(n - 1, 0, -1):
+        begin[page.above[e]] = min(begin[page.above[e]], begin[e])
+        end[page.above[e]] = max(end[page.above[e]], end[e])
+    for e in range(region + 1, n):
+        other = inside[e] and 2 * good[e] < every[e]
+        edge = end[e] <= start or begin[e] >= stop or begin[e] <= begin[region] or end[e] >= end[region]
+        if other and (page.tag[e] in PLAIN | LISTS and 2 * links[e] > every[e] or page.tag[e] in PLAIN and edge):
+            inside[e] = False
+        inside[e] &= inside[page.above[e]]
+    if page.tag[region] in ("", "html", "body"):
+        heads = [k for k in range(start) if inside[element[k]] and page.tag[element[k]] in HEADINGS]
+        first, last = heads[0] if heads else start, stop
+    return "\n".join(page.lines[k][0] for k in range(first, last) if inside[element[k]])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +305,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of pages (page_id, url, html).
 
-    A null or empty html, and one without any content, gives an empty text.
-    Repeated rows each give a row; other columns are not read.
+    A null or empty html, and one without any content, gives an empty text. Pages
+    of any length are read whole, in time that grows with their length, also if
+    deeply nested. Repeated rows each give a row, an empty table none; other
+    columns are not read.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+
+
+#: For pages as the shared tables have them: the article of plain blocks, and these four character references. It knows nothing of the method.
+ORACLE_SQL = r"""
+WITH bodies AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+blocks AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '(?i)</?(?:h[1-6]|p|ul|li|div|blockquote|pre|section)\b[^>]*>', chr(1), 'g'), '(?s)<!--.*?-->', '', 'g'), chr(1)) AS parts FROM bodies),
+cleaned AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM blocks),
+texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM cleaned)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""

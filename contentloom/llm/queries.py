@@ -60,5 +60,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mixing": mixing.ORACLE_SQL,
         "op5_embedding_near_dup": embedjoin.ORACLE_SQL,
         "op7_url_filter": urlfilter.ORACLE_SQL,
+        "op8_main_text": htmltext.ORACLE_SQL,
         "op10_license_scan": licenses.oracle_sql(),
     }

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -219,6 +220,39 @@ def test_main_text(spark):
     assert texts[1] == want and texts[2] == texts[3] == texts[4] == texts[8] == "" and texts[5] == "just text" and texts[6] == "deep"
 
 
+SENTENCES = "This is a long paragraph of the story with many words in it, that goes on and on for a while. " * 4
+
+
+def test_regions_come_from_the_clusters(monkeypatch):
+    """No telling tags or names: only the smoothed ratio finds the story."""
+    label = lambda *words: "<div>" + " ".join(f"<span>{w}</span>" for w in words) + "</div>"
+    above = "<div>" + label("Home", "News", "Sport") + label("Weather", "12", "C") + label("Top", "ten") + "</div>"
+    below = "<div>" + label("Terms", "of", "use") + label("Imprint", "2020") + label("Jobs", "here") + "</div>"
+    story = f"<div><div>{SENTENCES}</div><div>{SENTENCES}</div><div>Short one.</div><div>{SENTENCES}</div></div>"
+    page = f"<body>{above}{story}{below}</body>"
+    want = "\n".join([SENTENCES.strip(), SENTENCES.strip(), "Short one.", SENTENCES.strip()])
+    assert htmltext.main_text(page) == want
+    inside = f"<article><p>{SENTENCES}</p><p>{SENTENCES}</p>{below}</article>"
+    assert htmltext.main_text(inside) == "\n".join([SENTENCES.strip()] * 2)
+    monkeypatch.setattr(htmltext, "content_lines", lambda ratio: np.ones(len(ratio), bool))
+    assert "Home" in htmltext.main_text(page) and "Jobs" in htmltext.main_text(page) and "Jobs" in htmltext.main_text(inside)
+
+
+def test_doubtful_names_are_decided_by_the_clusters():
+    lead, story = f"Lead. {SENTENCES}", SENTENCES
+    page = f'<article><div class="story-header"><p>{lead}</p></div><p>{story}</p><div class="service-notice"><b>Sign</b> <i>up</i></div><p>{story}</p><div class="notice">{story}</div></article>'
+    assert htmltext.main_text(page) == "\n".join([lead.strip(), story.strip(), story.strip()])
+
+
+def test_long_and_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    assert htmltext.main_text("<div>" * 40_000 + "<p>deep text") == "deep text"
+    assert htmltext.main_text("<b><div>" + "<i>" * 40_000 + "</b>" * 40_000 + "deep text") == "deep text"
+    assert htmltext.main_text("<article>" + "<p>one two" * 40_000).count("one two") == 40_000
+    assert time.perf_counter() - began < 10
+    assert htmltext.main_text("<article><p>" + "word " * 400_000) == ("word " * 400_000).strip()
+
+
 # --- licenses
 
 
