@@ -227,7 +227,7 @@ def test_regions_come_from_the_clusters(monkeypatch):
     """No telling tags or names: only the smoothed ratio finds the story."""
     label = lambda *words: "<div>" + " ".join(f"<span>{w}</span>" for w in words) + "</div>"
     above = "<div>" + label("Home", "News", "Sport") + label("Weather", "12", "C") + label("Top", "ten") + "</div>"
-    below = "<div>" + label("Terms", "of", "use") + label("Imprint", "2020") + label("Jobs", "here") + "</div>"
+    below = "<div>" + "".join(label("Terms", "of", "use", "and", "Imprint", str(k)) for k in range(60)) + label("Jobs", "here") + "</div>"
     story = f"<div><div>{SENTENCES}</div><div>{SENTENCES}</div><div>Short one.</div><div>{SENTENCES}</div></div>"
     page = f"<body>{above}{story}{below}</body>"
     want = "\n".join([SENTENCES.strip(), SENTENCES.strip(), "Short one.", SENTENCES.strip()])
