@@ -10,8 +10,10 @@ and those of words of mostly unseen n-grams, are no language's.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .textkernel import pieces, words
 
 #: Documents that a model is learned from are a fixed sample of about so many for each language, by a hash of doc_id.
 SAMPLE_ROWS = 2000
+#: A model has the languages with the most labelled documents, so many at most: about 65,000 numbers each come to the driver and to every worker.
+MOST_LANGUAGES = 200
 BITS = 16
 SWITCH = 12.0
 #: What one n-gram can speak for or against a language at most.
@@ -30,13 +34,28 @@ FLOOR = -6.0
 ENOUGH = 1000
 UND = "und"
 
-#: Bytes of words: ASCII letters and all of a multi-byte character.
+#: Bytes of words: ASCII letters and all of a multi-byte character (lowered() leaves only those of letters and marks).
 LETTERS = np.array([chr(i).isalpha() and i < 128 or i >= 128 for i in range(256)])
-#: Script by the first byte of a character: Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic and the like, South and South-East Asian, Han and kana, Hangul, others.
-SCRIPTS = 9
-SCRIPT = np.full(256, 255, np.uint8)
-for _bytes, _script in ((range(0x41, 0x5B), 0), (range(0x61, 0x7B), 0), (range(0xC3, 0xCA), 0), (range(0xCD, 0xD0), 1), (range(0xD0, 0xD5), 2), (range(0xD5, 0xD8), 3), (range(0xD8, 0xE0), 4), (range(0xE0, 0xE2), 5), (range(0xE3, 0xEA), 6), (range(0xEA, 0xEE), 7), (range(0xF0, 0xF5), 8)):
-    SCRIPT[list(_bytes)] = _script
+#: First code points of runs of one script: Latin 0, Greek 1, Cyrillic 2, Armenian and Hebrew 3, Arabic and the like 4, Indic and South-East Asian 5, Georgian and Ethiopic 6, Hangul 7, Han and kana 8, others 9.
+RUNS = (
+    (0x41, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x600, 4), (0x900, 5), (0x10A0, 6), (0x1100, 7), (0x1200, 6), (0x13A0, 9), (0x1700, 5), (0x1800, 9), (0x1900, 5), (0x1C80, 2), (0x1C90, 6), (0x1CC0, 5), (0x1D00, 0), (0x1D26, 1), (0x1D2B, 2), (0x1D2C, 0), (0x1E00, 0), (0x1F00, 1), (0x2000, 9),
+    (0x2C00, 9), (0x2C60, 0), (0x2C80, 9), (0x2D00, 6), (0x2DE0, 2), (0x2E00, 9), (0x2E80, 8), (0x3130, 7), (0x3190, 8), (0xA000, 9), (0xA640, 2), (0xA6A0, 9), (0xA720, 0), (0xA800, 5), (0xA960, 7), (0xA980, 5), (0xAB00, 6), (0xAB30, 0), (0xAB70, 9), (0xABC0, 5), (0xAC00, 7), (0xD800, 9),
+    (0xF900, 8), (0xFB00, 0), (0xFB13, 3), (0xFB50, 4), (0xFE00, 9), (0xFE70, 4), (0xFF00, 0), (0xFF66, 8), (0xFFA0, 7), (0xFFE0, 9), (0x1B000, 8), (0x1B300, 9), (0x1E900, 9), (0x1EE00, 4), (0x1F000, 9), (0x20000, 8),
+)
+SCRIPTS = 10
+_FIRST, _SCRIPT = np.array([0, *(a for a, _ in RUNS)]), np.array([9, *(x for _, x in RUNS)], np.uint8)
+#: How many bits of a character its first byte holds, by that byte.
+_LEAD = np.array([0x7F if b < 0x80 else 0x1F if b < 0xE0 else 0x0F if b < 0xF0 else 0x07 for b in range(256)], np.int64)
+
+
+def scripts_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The scripts of the characters whose first bytes stand at those places."""
+    first = data[at]
+    code = first & _LEAD[first]
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        more = first >= least
+        code[more] = (code[more] << 6) | (data[at[more] + k] & 0x3F)
+    return _SCRIPT[np.searchsorted(_FIRST, code, "right") - 1]
 
 
 @dataclass
@@ -47,8 +66,23 @@ class Model:
     seen: np.ndarray  # [n-gram]: whether a learned text has it; all true if they have fewer than ENOUGH
 
 
+@lru_cache(1 << 16)
+def _in_words(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LM"
+
+
+def normal(text: str) -> str:
+    """In lower case, with a blank for each character beyond ASCII that is neither a letter nor a mark."""
+    text = text.lower()
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not _in_words(c):
+                text = text.replace(c, " ")
+    return text
+
+
 def lowered(column: pa.Array) -> pa.Array:
-    return pa.array([None if (t := x.as_py()) is None else t.lower() for x in column], pa.large_string())
+    return pa.array([None if (t := x.as_py()) is None else normal(t) for x in column], pa.large_string())
 
 
 def ngrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,22 +98,18 @@ def ngrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64), owner
 
 
-def word_scripts(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return SCRIPT[data[start]]
-
-
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model from the texts of docs (doc_id, text, lang) with a lang.
 
     At most about rows documents of each language are read, whole. They are
     chosen by a hash of doc_id, so runs agree. Only counts come to the driver:
-    2**BITS for each language.
+    2**BITS for each of MOST_LANGUAGES at most.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     part = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count"))
     part = counts.select(F.col("lang").alias("l"), part.alias("part"))
-    chosen = known.join(F.broadcast(part), F.col("lang") == F.col("l"))  # a row for each language
+    chosen = known.join(F.broadcast(part), F.col("lang") == F.col("l"))  # MOST_LANGUAGES rows
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = chosen.where(dice < F.col("part")).select("lang", "text")
 
@@ -92,13 +122,12 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 if not len(start):
                     continue
                 gram, owner = ngrams(data, start, end)
-                script = word_scripts(data, start)
+                script = scripts_at(data, start)
                 for d in range(len(bounds) - 1):
                     own = total.setdefault(langs[first + d], np.zeros((1 << BITS) + SCRIPTS, np.int64))
                     a, b = np.searchsorted(owner, [bounds[d], bounds[d + 1]])
                     np.add.at(own, gram[a:b], 1)
-                    some = script[bounds[d] : bounds[d + 1]]
-                    np.add.at(own, (1 << BITS) + some[some < SCRIPTS].astype(np.int64), 1)
+                    np.add.at(own, (1 << BITS) + script[bounds[d] : bounds[d + 1]].astype(np.int64), 1)
         for lang, own in total.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "gram", "n"])
@@ -144,16 +173,21 @@ def viterbi(scores: np.ndarray) -> np.ndarray:
 
 
 def labelled(scores: np.ndarray) -> np.ndarray:
-    """viterbi(), without its loop where one language is best throughout.
-
-    A path leaves the language with the greatest sum only for runs of words
-    that gain more than the penalty; if no run of any other language does, it
-    stays.
+    """viterbi(), without its loop where one language is surely best throughout.
+
+    Against the language with the greatest sum a path gains what its runs of
+    other languages gain, less a penalty for each switch. A block of r runs
+    beside or between words of that language costs r penalties at least, so it
+    loses if no run gains more than one. A block over the whole text costs
+    r - 1: it loses if, besides, what a run from the first word and one to the
+    last gain is together no more than one.
     """
-    best = int(np.argmax(scores.sum(0)))
+    best = int(np.argmax(scores.sum(0, dtype=np.float64)))
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
-    if float((gain - low).max()) <= SWITCH:
+    before = np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]])
+    run = float((gain - np.minimum.accumulate(before, axis=0)).max())
+    ends = float(gain.max()) + float((gain[-1] - before).max())
+    if max(run, ends) < SWITCH - 1e-6:
         return np.full(len(scores), best)
     return viterbi(scores)
 
@@ -166,10 +200,7 @@ def word_scores(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarr
     scores = np.add.reduceat(model.scores[gram], first, axis=0)
     # a word speaks for or against a language by no more than a few n-grams
     scores = np.maximum(scores, 2 * FLOOR)
-    script = word_scripts(data, start)
-    known = script < SCRIPTS
-    allowed = np.ones((len(start), len(model.languages)), bool)
-    allowed[known] = model.scripts[script[known]]
+    allowed = model.scripts[scripts_at(data, start)]
     none = ~allowed.any(1)
     allowed[none] = True
     scores[none] = 0
@@ -177,17 +208,12 @@ def word_scores(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarr
 
 
 def letters(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many letters each word has, and how many of them are of a script that a language has."""
-    lead = (data & 0xC0) != 0x80
-    ours = lead & np.append(model.scripts.any(1), False)[np.minimum(SCRIPT, SCRIPTS)][data]
-    sums = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[end] - c[start]
-    known = sums(ours)
-    every = known.copy()
-    # signs between and around letters are none
-    for k in np.flatnonzero(sums(lead & ~ours)):
-        at = np.arange(start[k], end[k])[lead[start[k] : end[k]]]
-        every[k] += sum(c.isalpha() and not own for c, own in zip(data[start[k] : end[k]].tobytes().decode(), ours[at].tolist(), strict=True))
-    return every, known
+    """How many letters (with marks) each word has, and how many of them are of a script that a language has."""
+    at = np.flatnonzero(((data & 0xC0) != 0x80) & LETTERS[data])
+    ours = model.scripts.any(1)[scripts_at(data, at)]
+    a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+    sums = np.concatenate([[0], np.cumsum(ours)])
+    return b - a, sums[b] - sums[a]
 
 
 def predict(model: Model, column: pa.Array) -> Iterator[tuple[int, str, float, list, float]]:
@@ -216,8 +242,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans for every row of docs (doc_id, text).
 
     lang_pred is und, with score 0, for a null text, one without a letter, one
-    whose letters are all no language's, and if the model has no language. Ties go to the language first by code point.
-    Repeated rows each give a row; other columns are not read.
+    whose letters are all no language's, and if the model has no language. Ties
+    go to the language first by code point. Texts of any length are read whole.
+    Repeated rows each give a row, an empty table none; other columns are not
+    read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers for each language

@@ -366,6 +366,23 @@ def test_viterbi_and_its_short_cut():
             assert value(langid.viterbi(scores)) == pytest.approx(top) and value(langid.labelled(scores)) == pytest.approx(top)
 
 
+def test_short_cut_never_differs_from_viterbi():
+    """Two languages may each hold a part of a text whose best sum is a third one's."""
+    assert langid.labelled(np.array([[0, -20, -9.9], [-20, 0, -9.9]])).tolist() == [0, 1]
+    r = np.random.default_rng(10)
+    for _ in range(20_000):
+        scores = -r.random((r.integers(1, 8), r.integers(1, 5))) * r.choice([3, 8, 12, 25])
+        value = lambda path, s=scores: s[np.arange(len(s)), path].sum() - langid.SWITCH * (np.diff(path) != 0).sum()
+        assert value(langid.labelled(scores)) == pytest.approx(value(langid.viterbi(scores)), abs=1e-9)
+
+
+def test_scripts_by_code_point():
+    pairs = {"a": 0, "é": 0, "ế": 0, "ﬁ": 0, "α": 1, "ἀ": 1, "ж": 2, "ꙁ": 2, "א": 3, "ա": 3, "ع": 4, "क": 5, "ไ": 5, "ខ": 5, "ა": 6, "አ": 6, "한": 7, "ᄀ": 7, "漢": 8, "か": 8, "𠀀": 8, "ᚠ": 9, "𐌰": 9}
+    data = np.frombuffer("".join(pairs).encode(), np.uint8)
+    assert langid.scripts_at(data, np.flatnonzero((data & 0xC0) != 0x80)).tolist() == list(pairs.values())
+    assert langid.normal("„Één—twee…”") == " één twee  "
+
+
 def test_languages(spark):
     r = random.Random(6)
     syllables = {"xx": ["ka", "to", "mi", "ru"], "yy": ["sch", "ung", "keit", "ver"], "zz": ["при", "вет", "мир", "да"]}
