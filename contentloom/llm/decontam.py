@@ -1,23 +1,29 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
-Words are runs of letters and digits, in lower case. A window's fingerprint
-is the 64-bit SimHash of its words. Windows come in powers of two: an item of L
-words gives all its windows of the largest power up to L and, from 16 words on,
-of half of it; documents give their windows of these sizes at every word. So an
-item that stands unchanged in a document has windows at distance 0, and one
-with a few changed words has undamaged windows between them.
+Words are runs of letters, marks and digits, in lower case. A window's
+fingerprint is the 64-bit SimHash of its words. Windows come in powers of two:
+an item of L words gives all its windows of the largest power up to L, of half
+of it from 16 words on (and at 8), and of 16 words if it is longer still; documents give
+their windows of these sizes at every word. An item that stands unchanged in a
+document has windows at distance 0. A changed one of similarity 0.75 or more has
+an unchanged run as long as one of the windows: every place where words were
+changed, put in or left out costs at least four shingles on either side, of
+which a seventh may be lost, so that runs of 16 words remain between them.
 
 Fingerprints are cut into RADIUS + 1 blocks. Two that differ in at most RADIUS
 bits agree on a block, so tables of the items' blocks give every document
 window within the radius of an item window. Each such pair of windows fixes
-where the item would stand; there the exact weighted similarity of the 5-word
-shingles decides: the sum of the lesser counts over the sum of the greater.
+where the item would stand; around it the span is looked for whose shingles
+are most of all the item's, of any length, and there the exact weighted
+similarity of the 5-word shingles decides: the sum of the lesser counts over
+the sum of the greater.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import ALNUM, U64, pieces, shingles, word_hashes, words
+from .textkernel import ALNUM, U64, pieces, shingles, spaced, word_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 2
 #: First bit and number of bits of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Alignments tried around the place that two windows suggest.
-SHIFT = 2
 #: Bytes of item texts that one broadcast index may hold; more items go in several passes.
 INDEX_BYTES = 4 << 20
 
@@ -49,7 +53,7 @@ def window_sizes(n: int) -> list[int]:
     if not n:
         return []
     top = min(1 << (n.bit_length() - 1), MOST_WORDS)
-    return [top, top // 2] if n >= 16 else [top]
+    return sorted({top, top // 2, min(16, top // 2)}, reverse=True) if n >= 16 or n == 8 else [top]
 
 
 def fingerprints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
@@ -83,8 +87,8 @@ def fingerprints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
 
 
 def lowered(column: pa.Array) -> pa.Array:
-    """Texts in lower case, code point by code point, so places stay the same."""
-    return pc.utf8_lower(column)
+    """Texts in lower case and spaced(), code point by code point, so places stay the same."""
+    return spaced(pc.utf8_lower(column))
 
 
 def similarity(one: Counter, two: Counter) -> float:
@@ -92,6 +96,15 @@ def similarity(one: Counter, two: Counter) -> float:
     return least / ((one.total() + two.total() - least) or 1)
 
 
+def least_before(values: np.ndarray, reach: int) -> np.ndarray:
+    """Of each value the least among itself and up to reach ones before it, from running minima of blocks."""
+    width = reach + 1
+    rows = np.pad(values, (reach, -(len(values) + reach) % width), constant_values=np.iinfo(np.int64).max).reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: len(values)], ahead[reach : reach + len(values)])
+
+
 class Index:
     """Items (id, text) with their fingerprints by window size; built on the driver and broadcast."""
 
@@ -106,7 +119,7 @@ class Index:
             self.lengths.append(len(hashes))
             self.bags.append(Counter(shingles(hashes, bounds, SHINGLE)[0].tolist()))
             for w, found in fingerprints(hashes, window_sizes(len(hashes))).items():
-                prints.setdefault(w, []).append((found, np.full(len(found), k), np.arange(len(found))))
+                prints.setdefault(w, []).append((found, np.full(len(found), k, np.int32), np.arange(len(found), dtype=np.int32)))
         self.windows = {w: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for w, parts in prints.items()}
         self.tables = None
 
@@ -121,7 +134,7 @@ class Index:
                     order = np.argsort(values, kind="stable")
                     there = np.zeros(1 << bits, bool)
                     there[values] = True
-                    rows.append((there, values[order], order))
+                    rows.append((there, values[order].astype(np.uint32), order.astype(np.int32)))
                 self.tables[w] = rows
         return self
 
@@ -133,7 +146,8 @@ class Index:
             at = np.flatnonzero(there[block])
             if not len(at):
                 continue
-            a, b = np.searchsorted(values, block[at], "left"), np.searchsorted(values, block[at], "right")
+            asked = block[at].astype(np.uint32)
+            a, b = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
             count = b - a
             mine = np.repeat(at, count)
             other = order[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(len(mine))]
@@ -142,25 +156,48 @@ class Index:
             theirs.append(other[good])
         return (np.concatenate(places), np.concatenate(theirs)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def best(self, item: int, hashes: np.ndarray, start: int) -> tuple[float, int, int]:
-        """The greatest similarity with an item at about a word of a text, and the words it spans."""
-        length, bag, top = self.lengths[item], self.bags[item], (0.0, 0, 0)
-        low, high = max(0, start - SHIFT), min(len(hashes), start + length + 2 * SHIFT)
-        cut = lambda a, b: shingles(hashes[a:b], np.array([0, b - a]), SHINGLE)[0].tolist()
-        around = cut(low, high) if length >= SHINGLE + SHIFT and high - low >= SHINGLE else None
-        if around is not None:
-            held = Counter(around)
-            if sum(min(n, held[s]) for s, n in bag.items()) < SIMILARITY * bag.total():
-                return top  # not even all that is here would do
-        for dl in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-            for ds in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-                a, b = max(0, start + ds), min(len(hashes), start + ds + length + dl)
-                if b > a:
-                    found = around[a - low : b - low - SHINGLE + 1] if around is not None and b - a >= SHINGLE else cut(a, b)
-                    if (s := similarity(Counter(found), bag)) > top[0]:
-                        top = (s, a, b)
-                        if s == 1:
-                            return top
+    def best(self, item: int, hashes: np.ndarray, starts: list[int]) -> tuple[float, int, int]:
+        """The similarity with an item of the span of a text's words, around those where it might start, that speaks most for it, and the span.
+
+        A similarity of 3/4 means 7 shared - 3 own >= 3 of the item's. So each
+        shingle of the text counts 4 if the item has it, else -3, and the run
+        with the greatest sum decides. Of a shingle that the text repeats, only
+        as many within a span's length count as the item has.
+        """
+        length, bag = self.lengths[item], self.bags[item]
+        if length < SHINGLE:
+            (own,) = bag
+            for a in starts:
+                if 0 <= a <= len(hashes) - length and shingles(hashes[a : a + length], np.array([0, length]), SHINGLE)[0][0] == own:
+                    return 1.0, a, a + length
+            return 0.0, 0, 0
+        most = (length - SHINGLE + 1) * 4 // 3 + SHINGLE  # words of a span that can reach the similarity
+        around: list[list[int]] = []  # places that overlap are searched together
+        for a in starts:
+            low, high = max(0, a + length - most), min(len(hashes), a + most)
+            if around and low <= around[-1][1]:
+                around[-1][1] = high
+            else:
+                around.append([low, high])
+        top = (0.0, 0, 0)
+        for low, high in around:
+            if high - low < SHINGLE:
+                continue
+            found = shingles(hashes[low:high], np.array([0, high - low]), SHINGLE)[0].tolist()
+            seen: dict[int, deque] = {}
+            score = np.full(len(found) + 1, -3, np.int64)
+            score[0] = 0
+            for at, s in enumerate(found):
+                if count := bag.get(s):
+                    last = seen.setdefault(s, deque(maxlen=count))
+                    if len(last) < count or last[0] < at - most:
+                        last.append(at)
+                        score[at + 1] = 4
+            sums = np.cumsum(score)
+            behind = int(np.argmax(sums - least_before(sums, most)))
+            before = max(0, behind - most) + int(np.argmin(sums[max(0, behind - most) : behind + 1]))
+            if behind > before and (s := similarity(Counter(found[before:behind]), bag)) > top[0]:
+                top = (s, low + before, low + behind + SHINGLE - 1)
         return top
 
     def hits(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
@@ -169,27 +206,27 @@ class Index:
         for first, data, offsets in pieces(lowered(column)):
             start, end, bounds = words(data, offsets, ALNUM)
             hashes = word_hashes(data, start, end)
-            asked: set[tuple[int, int, int]] = set()
+            asked = [np.zeros((2, 0), np.int64)]  # text and item as one number, and the item's first word in the text
             sizes = [w for w in self.windows if w <= len(hashes)]
             for w, prints in fingerprints(hashes, sizes).items():
                 mine, other = self.near(w, prints)
                 text = np.searchsorted(bounds, mine, "right") - 1
                 inside = mine + w <= bounds[text + 1]
                 _, item, offset = self.windows[w]
-                rows = zip(text[inside], item[other[inside]], (mine - bounds[text] - offset[other])[inside], strict=True)
-                asked.update((int(t), int(i), int(at)) for t, i, at in rows)
-            top: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for t, i, at in sorted(asked):
-                if top.get((t, i), (0,))[0] < 1:
-                    own = hashes[bounds[t] : bounds[t + 1]]
-                    s, a, b = self.best(i, own, at)
-                    if s >= SIMILARITY and s > top.get((t, i), (0,))[0]:
-                        top[t, i] = (s, a, b)
-            for (t, i), (s, a, b) in top.items():
-                base = bounds[t]
-                at, behind = start[base + a], end[base + b - 1]
-                before = len(data[offsets[t] : at].tobytes().decode())
-                yield first + t, i, s, before, before + len(data[at:behind].tobytes().decode())
+                asked.append(np.stack([text * len(self.ids) + item[other], mine - bounds[text] - offset[other]])[:, inside])
+            who, place = np.concatenate(asked, axis=1)
+            order = np.lexsort((place, who))
+            who, place = who[order], place[order]
+            new = (np.diff(who, prepend=-1) != 0) | (np.diff(place, prepend=0) != 0)
+            who, place = who[new], place[new]
+            cuts = np.flatnonzero(np.diff(who, prepend=-1))
+            for x, y in pairwise([*cuts, len(who)]):
+                t, i = divmod(int(who[x]), len(self.ids))
+                s, a, b = self.best(i, hashes[bounds[t] : bounds[t + 1]], place[x:y].tolist())
+                if s >= SIMILARITY:
+                    at, behind = start[bounds[t] + a], end[bounds[t] + b - 1]
+                    before = len(data[offsets[t] : at].tobytes().decode())
+                    yield first + t, i, s, before, before + len(data[at:behind].tobytes().decode())
 
 
 def indexes(benchmark: DataFrame) -> list:
@@ -210,8 +247,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts and items hold nothing; an item of fewer than five
     words has one shingle, its whole sequence, and is found where the text has
-    these words in a row. Repeated rows each give their rows, ties go to the
-    first place. Other columns are not read; documents without a leak give no row.
+    these words in a row. Texts of any length are read whole. Repeated rows each
+    give their rows, ties go to the first place, an empty table gives none. Other
+    columns are not read; documents without a leak give no row.
     """
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     found = None

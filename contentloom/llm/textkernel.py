@@ -7,10 +7,13 @@ than a piece.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 PIECE = 1 << 20
@@ -18,7 +21,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of words when punctuation separates: ASCII letters and digits, and all of a multi-byte character.
+#: Bytes of words when punctuation separates: ASCII letters and digits, and all of a multi-byte character (spaced() leaves those of words).
 ALNUM = np.array([chr(i).isalnum() and i < 128 or i >= 128 for i in range(256)])
 
 
@@ -51,6 +54,19 @@ _UP, _DOWN = _powers(ROOT, PIECE + 1), _powers(pow(ROOT, -1, 1 << 64), PIECE + 1
 _LETTERS = mix(LOWER.astype(U64) + U64(1))
 
 
+@lru_cache(1 << 16)
+def _separates(c: str) -> bool:
+    return c > "\x7f" and unicodedata.category(c)[0] not in "LMN"
+
+
+def spaced(column: pa.Array) -> pa.Array:
+    """Texts with a blank for each character beyond ASCII that is no letter, mark or digit; places in code points stay."""
+    held = set().union(*(set(t) for t in column.to_pylist() if t and not t.isascii()))
+    for c in filter(_separates, held):
+        column = pc.replace_substring(column, c, " ")
+    return column
+
+
 def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) of runs of texts; a null counts as empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]

@@ -8,6 +8,7 @@ import re
 import struct
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -344,6 +345,60 @@ def test_leaks_are_found_and_clean_rows_stay(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).collect() == [] and decontam.without_leaks(docs.limit(0), bench).collect() == []
 
 
+def plain_best(item, text):
+    """The greatest similarity of any span of the text, by trying all."""
+    cut = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    bag, found, top = Counter(cut(item)), cut(text), 0.0
+    for a in range(len(found)):
+        held, common = Counter(), 0
+        for b in range(a, min(len(found), a + bag.total() * 4 // 3 + 1)):
+            held[found[b]] += 1
+            common += held[found[b]] <= bag[found[b]]
+            top = max(top, common / (bag.total() + b - a + 1 - common))
+    return top
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changed_items_equal_a_plain_scan(seed):
+    """Words changed, put in, left out, cut off and parted by signs, at every similarity about the threshold."""
+    r = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(300)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    found = wanted = 0
+    for _ in range(250):
+        item = text(r.choice([5, 8, 12, 16, 25, 33, 47, 64, 75, 95, 127, 200]))
+        copy, n = list(item), len(item)
+        for _ in range(r.randint(0, max(1, n // 24))):
+            kind, k = r.choice(["change", "in", "out", "many in", "cut"]), r.randrange(len(copy))
+            if kind == "cut":
+                copy = copy[: max(5, len(copy) - r.randint(1, max(1, n // 8)))]
+            else:
+                copy[k : k + (kind in ("change", "out"))] = [] if kind == "out" else text(1 if kind in ("change", "in") else r.randint(2, max(2, n // 6)))
+            if len(copy) < 5:
+                copy = list(item)
+        whole = text(r.randint(0, 30)) + copy + text(r.randint(0, 30))
+        best = plain_best(item, whole)
+        hits = list(decontam.Index([(7, " ".join(item))]).hits(pa.array([r.choice([" ", " \u2014 ", "\u00a0", ", "]).join(whole)])))
+        assert (len(hits) == 1) == (best >= 0.75) and all(best >= h[2] >= 0.75 for h in hits)
+        wanted += best >= 0.75
+        found += bool(hits)
+    assert wanted > 120 and found == wanted
+
+
+def test_running_minima():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        v, k = r.integers(-9, 9, r.integers(1, 30)), int(r.integers(1, 12))
+        assert decontam.least_before(v, k).tolist() == [int(v[max(0, i - k) : i + 1].min()) for i in range(len(v))]
+
+
+def test_leaks_in_long_and_repeating_texts():
+    index = decontam.Index([(1, "again " * 50), (2, " ".join(f"v{k}" for k in range(40)))])
+    began = time.perf_counter()
+    hits = list(index.hits(pa.array(["again " * 60_000, "w " * 200_000 + " ".join(f"v{k}" for k in range(40)) + " w" * 200_000])))
+    assert [(h[0], h[1], h[2]) for h in hits] == [(0, 0, 1.0), (1, 1, 1.0)] and time.perf_counter() - began < 20
+
+
 # --- languages
 
 
