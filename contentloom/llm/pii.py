@@ -34,12 +34,19 @@ DIGITS = {word: str(n) for words in ("zero one two three four five six seven eig
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\x20,.-]{{1,2}}(?:{_WORD}|[0-9])){{3,}}(?!\w)", re.I)
 SPELLED_ITEM = re.compile(rf"[0-9]|{_WORD}", re.I)
-ODD = re.compile(f"[{''.join(ALIKE)}{INVISIBLE}٠-٩۰-۹०-९！-～﹫。․]")
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
-BLANK_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-])", re.I)
-BLANK_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-#: A real @ before a domain with a spelled point.
-BLANK_DOMAIN = re.compile(r"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+\s+dot\s+[A-Za-z0-9]", re.I)
+ODD = re.compile(f"[{''.join(ALIKE)}{INVISIBLE}٠-٩۰-۹०-९！-～﹫。․𝐀-𝟿]")
+#: Words for @ that are no other words, and words for a point, of English, Spanish, German and French.
+AT = "arroba|arobase|arrobase|klammeraffe"
+DOT = "dot|punto|punkt|point"
+BRACKETED = re.compile(rf"[\[({{<]\s*+(at|@|{AT}|{DOT}|\.)\s*+[\])}}>]\s*+", re.I)
+_LABEL = "[A-Za-z0-9-]++"
+#: "at" between blanks, before a domain; with a real point in that only after a local part that is no plain word.
+BLANK_AT = re.compile(rf"(?<=[A-Za-z0-9])\s++(?:{AT}|(at))\s++(?={_LABEL}(?:\s++(?:{DOT})\s++|(\.))[A-Za-z0-9-])", re.I)
+NOT_PLAIN = re.compile(r"[0-9._%+-]")
+#: A domain of which all points are spelled, or the last ones by "dot".
+SPELLED_DOMAIN = re.compile(rf"@{_LABEL}(?:(?:\s++(?:{DOT})\s++{_LABEL})++|(?:\.{_LABEL})++(?:\s++dot\s++{_LABEL})++)", re.I)
+BLANK_DOT = re.compile(rf"\s++(?:{DOT})\s++", re.I)
+ARROBA = re.compile(AT)
 PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 
 
@@ -112,6 +119,39 @@ def after(text: str, start: list[int], end: list[int], edits: list[tuple[int, in
     return new, [start[k] for k in a], [end[k - 1] for k in b]
 
 
+def blanks_before(text: str, at: int) -> int:
+    start = at
+    while start and text[start - 1].isspace():
+        start -= 1
+    return at - start
+
+
+def spelled_locals(text: str) -> list[tuple[int, int, str]]:
+    """Each "dot" between blanks in a local part, from its @ back."""
+    out, at = [], text.find("@")
+    while at >= 0:
+        start = at
+        while True:
+            first = start
+            while start and text[start - 1] in LOCAL:
+                start -= 1
+            word = start - blanks_before(text, start)
+            before = word - 3 - blanks_before(text, word - 3) if text[max(0, word - 3) : word].lower() == "dot" else word
+            if start == first or word == start or before > word - 4 or not before or text[before - 1] not in LOCAL:
+                break
+            out.append((before, start, "."))
+            start = before
+        at = text.find("@", at + 1)
+    return out
+
+
+def local_part(text: str, end: int) -> str:
+    start = end
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    return text[start:end]
+
+
 def normalised(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text as the transducers, in turn, leave it; None if none changes it."""
     now = None
@@ -128,11 +168,14 @@ def normalised(text: str) -> tuple[str, list[int], list[int]] | None:
     if now:
         # blanks and points between digits that were spelled go
         apply([(m.start(), m.end(), "") for m in re.finditer(r"(?<=[0-9])[\x20,.-]{1,2}(?=[0-9])", now[0]) if any(now[1][k] + 1 < now[2][k] for k in (m.start() - 1, m.end()))])
-    apply([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKETED.finditer(current())])
-    if "dot" in (low := current().lower()) or " at " in low:
-        apply([(m.start(), m.end(), "@") for m in BLANK_AT.finditer(current())])
-        if now and "@" in now[0] or BLANK_DOMAIN.search(current()):
-            apply([(m.start(), m.end(), ".") for m in BLANK_DOT.finditer(current())])
+    apply([(m.start() - blanks_before(current(), m.start()), m.end(), "." if m[1] == "." or re.fullmatch(DOT, m[1], re.I) else "@") for m in BRACKETED.finditer(current())])
+    low = current().lower()
+    if " at " in low or ARROBA.search(low):
+        apply([(m.start(), m.end(), "@") for m in BLANK_AT.finditer(current()) if not m[1] or not m[2] or NOT_PLAIN.search(local_part(current(), m.start()))])
+    if "@" in current():
+        apply([(m.start() + x.start(), m.start() + x.end(), ".") for m in SPELLED_DOMAIN.finditer(current()) for x in BLANK_DOT.finditer(m[0])])
+        if " dot " in low:
+            apply(spelled_locals(current()))
     if "plus" in low:
         apply([(m.start(), m.end(), "+") for m in PLUS.finditer(current())])
     return now
@@ -182,8 +225,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_personal(docs: DataFrame) -> DataFrame:
     """For every row of docs (doc_id, text): counts, the digest of the plain spans, all spans, and spans as structs.
 
-    A null or empty text has no spans (and the digest of the empty string).
-    Rows with equal ids each give a row. Other columns are not read.
+    A null or empty text has no spans (and the digest of the empty string). Texts
+    of any length are read whole, in time that grows with their length. Rows with
+    equal ids each give a row, an empty table none. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, {RESULT}")

@@ -237,8 +237,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """For every row of docs (doc_id, text): counts, the digest of the base spans, all spans, and spans as structs.
 
-    A null or empty text has no spans (and the digest of the empty string).
-    Rows with equal ids each give a row. Other columns are not read.
+    A null or empty text has no spans (and the digest of the empty string). Texts
+    of any length are read whole, in time that grows with their length. Rows with
+    equal ids each give a row, an empty table none. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, {RESULT}")
