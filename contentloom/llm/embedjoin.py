@@ -7,41 +7,48 @@ query's projection is known too. A pair is a candidate if it collides in at
 least the count that all but MISSES of the pairs at the threshold reach; its
 cosine is then computed in double precision.
 
-Pairs are formed only within a label, and only within cells: intervals of some
-extra projections, as many as the label's size asks for. A vector is at home in
-one cell and visits the neighbours within REACH deviations. Equal vectors are
-one row with a count. A full cell is dealt in pairs of blocks.
+Pairs are formed only within a label. A label of more than CELL_ROWS vectors is
+dealt in cells, several times over: each of its tables cuts as many further
+projections into intervals as bring a cell down to about BLOCK vectors, and
+there are so many tables that all but LOST of the pairs at the threshold share a
+cell in one of them. A vector is one row in each table, 17 of a label of a
+million and 48 of one of a thousand million. A pair belongs to the first table
+in which it shares a cell. Equal vectors are one row with a count. A cell that
+is larger is dealt in pairs of blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small
 from .components import components
+from .textkernel import mix
 
 COSINE = 0.98
 PROJECTIONS = 24
 HALF = 0.3
 MISSES = 1e-4
-#: Deviations within which a pair at the threshold falls on a cell projection (one in 2 million does not).
-REACH = 5.0
-CELL = 2.0
-#: Rows that one cell and one block should hold.
+#: Of the pairs at the threshold in a large label, the part that may share no cell.
+LOST = 1e-4
+#: Width of a cell's intervals; unit vectors' projections have deviation 1.
+CELL = 1.0
+#: Vectors of a label from which on it is cut into cells, and of a block.
 CELL_ROWS = 20_000
 BLOCK = 2048
-MAX_AXES = 12
 SEED = 20_240_601
 
 
-def directions(count: int, dim: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((MAX_AXES + count, dim))
+@lru_cache(64)
+def directions(count: int, dim: int, kind: int = 0) -> np.ndarray:
+    return np.random.default_rng([SEED, dim, kind]).standard_normal((count, dim))
 
 
 def deviation(cosine: float) -> float:
@@ -60,6 +67,34 @@ def least_collisions(cosine: float = COSINE) -> int:
     return PROJECTIONS
 
 
+def same_interval(spread: float) -> float:
+    """The chance that two projections, their difference normal with that deviation, share an interval of a random grid."""
+    t = CELL / spread
+    return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * (1 - math.exp(-t * t / 2))
+
+
+@lru_cache(1 << 16)
+def tables(rows: int) -> tuple[int, int]:
+    """Projections of a cell, and tables, for a label of so many vectors."""
+    if rows <= CELL_ROWS:
+        return 0, 1
+    axes = math.ceil(math.log(rows / BLOCK) / -math.log(same_interval(math.sqrt(2))))
+    return axes, math.ceil(math.log(LOST) / math.log(1 - same_interval(deviation(COSINE)) ** axes))
+
+
+def cell_codes(x: np.ndarray, axes: int, count: int) -> np.ndarray:
+    """The cell of each vector in each of the first count tables, as a hash."""
+    if not axes or not count:
+        return np.zeros((len(x), count), np.int64)
+    ways = directions(axes * count, x.shape[1], 1)
+    shift = np.random.default_rng(SEED).random(axes * count)
+    at = np.floor((x @ ways.T) / CELL + shift).astype(np.int64).reshape(len(x), count, axes).view(np.uint64)
+    out = np.zeros((len(x), count), np.uint64)
+    for k in range(axes):
+        out = mix(out * np.uint64(31) + at[:, :, k] + np.uint64(k + 1))
+    return out.view(np.int64)
+
+
 def unit(vectors: list) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for what can't be compared."""
     out = []
@@ -73,35 +108,29 @@ def unit(vectors: list) -> list[np.ndarray | None]:
     return out
 
 
-def _cells(axes_of: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, vec, embedding, copies -> one row for each cell that the vector is at home in or visits."""
-    reach = REACH * deviation(COSINE)
+CELLS = "label string, cell string, vec long, x binary, copies long"
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, vec, embedding, copies, rows of the label -> one row for each table, with the vector's cell (length, axes, table, code)."""
     for batch in batches:
-        rows = []
-        labels, ids, vectors, copies = (batch.column(k).to_pylist() for k in range(4))
-        for label, vec, x, n in zip(labels, ids, unit(vectors), copies, strict=True):
-            if x is None:
-                continue
-            axes = axes_of.get(label, 0)
-            values = directions(PROJECTIONS, len(x))[:axes] @ x if axes else np.zeros(0)
-            cells = [((), True)]
-            for v in values:
-                own = math.floor(v / CELL)
-                near = {own, math.floor((v - reach) / CELL), math.floor((v + reach) / CELL)}
-                cells = [((*c, k), home and k == own) for c, home in cells for k in sorted(near)]
-            for cell, home in cells:
-                rows.append((label, f"{len(x)}:" + ",".join(map(str, cell)), home, vec, x.tobytes(), n))
-        yield _table(rows)
-
-
-def _table(rows: list) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["label", "cell", "home", "vec", "x", "copies"])
+        groups: dict[tuple[int, int], list] = {}
+        columns = [batch.column(k).to_pylist() for k in range(5)]
+        for label, vec, x, n, rows in zip(columns[0], columns[1], unit(columns[2]), columns[3], columns[4], strict=True):
+            if x is not None:
+                groups.setdefault((len(x), *tables(rows)), []).append((label, vec, x, n))
+        for (dim, axes, count), found in groups.items():
+            for k in range(0, len(found), 1000):
+                part = found[k : k + 1000]
+                codes = cell_codes(np.stack([x for _, _, x, _ in part]), axes, count)
+                out = [(label, f"{dim}:{axes}:{t}:{code}", vec, x.tobytes(), n) for (label, vec, x, n), own in zip(part, codes.tolist(), strict=True) for t, code in enumerate(own)]
+                types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names=["label", "cell", "vec", "x", "copies"])
 
 
 def collisions(query: np.ndarray, data: np.ndarray, dim: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each query the indices of the data that collide with it often enough."""
-    ways = directions(PROJECTIONS, dim)[MAX_AXES:]
+    ways = directions(PROJECTIONS, dim)
     least = least_collisions()
     p, q = data @ ways.T, query @ ways.T
     order = np.argsort(p, axis=0, kind="stable")
@@ -115,22 +144,24 @@ def collisions(query: np.ndarray, data: np.ndarray, dim: int) -> Iterator[tuple[
         yield i, np.flatnonzero(np.bincount(met, minlength=len(data)) >= least)
 
 
-def _pairs(table: pa.Table) -> pa.Table:
-    """Rows (home, vec, x, copies, side) of a cell or of two of its blocks -> for each vector its links, and the least one.
+def _pairs(key: tuple, table: pa.Table) -> pa.Table:
+    """Rows (vec, x, copies, side) of a cell, or of two of its blocks, -> for each vector its links, and the least one.
 
-    A pair belongs to the cell in which the one with the smaller id is at home.
+    side 0: all with all; else block 1's with block 2's.
     """
-    home, vec, copies, side = (table[c].to_numpy() for c in ("home", "vec", "copies", "side"))
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float64).reshape(len(vec), -1)
-    query = np.flatnonzero(home & (side < 2))
-    data = np.flatnonzero(side != 1)
+    dim, axes, number, _ = map(int, key[1].as_py().split(":"))
+    vec, copies, side = (table[c].to_numpy() for c in ("vec", "copies", "side"))
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float64).reshape(len(vec), dim)
+    earlier = cell_codes(x, axes, number)
+    query, data = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
     out_a, out_b, out_n = [], [], []
     if len(query) and len(data):
-        for i, met in collisions(x[query], x[data], x.shape[1]):
+        for i, met in collisions(x[query], x[data], dim):
             a = query[i]
             b = data[met]
-            b = b[vec[b] > vec[a]]
+            b = b[vec[b] > vec[a]] if side[a] == 0 else b
             b = b[x[b] @ x[a] >= COSINE] if len(b) else b
+            b = b[~(earlier[b] == earlier[a]).any(1)] if number and len(b) else b
             if len(b):
                 out_a.append(np.full(len(b), vec[a]))
                 out_b.append(vec[b])
@@ -164,36 +195,37 @@ def near_embeddings(embeddings: DataFrame) -> DataFrame:
     cosine is at least 0.98. Vectors that are null, empty, zero or hold a null
     or a non-finite component link with nothing, nor do vectors of different
     lengths; a null vec_id takes no part and has a null component. Equal
-    vectors, repeated ids too, are linked as any others. Other columns are not
-    read.
+    vectors, repeated ids too, are linked as any others. Labels of any kind are
+    equal if their texts are; vec_id is a whole number, given back as long. An
+    empty table gives an empty one. Other columns are not read.
     """
-    spark = embeddings.sparkSession
-    rows = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     rows = checkpoint(rows.withColumn("key", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.struct(F.xxhash64("embedding"), F.hash("embedding")))))
     known = rows.where(F.col("key").isNotNull() & F.col("embedding").isNotNull())
-    classes = checkpoint(known.groupBy("label", "key").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    # one more axis whenever a cell would hold too many; the number of labels with that many rows is small
-    large = classes.groupBy("label").count().where(F.col("count") > CELL_ROWS).collect()
-    axes = {r[0]: min(MAX_AXES, math.ceil(math.log(r[1] / CELL_ROWS, 1.6))) for r in large}
-    cells = classes.select("label", "vec", "embedding", "copies").mapInArrow(lambda b: _cells(axes, b), "label long, cell string, home boolean, vec long, x binary, copies long")
-    cells = checkpoint(cells)
-    sizes = cells.groupBy(F.col("label").alias("l"), F.col("cell").alias("c")).agg(F.count("*").alias("size"))
-    dealt = cells.join(sizes, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).drop("l", "c")
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
-    # block pairs (i, j): queries of i with data of j
-    as_query = dealt.where("home").withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    as_data = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["label", "cell", "i", "j", "home", "vec", "x", "copies"]
-    sided = as_query.select(*columns, F.lit(1).alias("side")).unionByName(as_data.select(*columns, F.lit(2).alias("side")))
+    classes = known.groupBy("label", "key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = checkpoint(classes.withColumn("vec", F.monotonically_increasing_id()))  # from here on a class of equal vectors is known by its number
+    large = checkpoint(classes.groupBy("label").count().where(F.col("count") > CELL_ROWS).select(F.col("label").alias("l"), "count"))
+    cells = classes.join(small(large), F.col("label") == F.col("l"), "left").select("label", "vec", "embedding", "copies", F.coalesce("count", F.lit(0)).alias("rows"))
+    cells = checkpoint(cells.mapInArrow(_cells, CELLS))
+    large = cells.groupBy(F.col("label").alias("l"), F.col("cell").alias("c")).agg(F.count("*").alias("size"))
+    large = checkpoint(large.where(F.col("size") > BLOCK))
+    columns = ["label", "cell", "i", "j", "vec", "x", "copies", "side"]
+    dealt = cells.join(small(large), (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c")), "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    sided = dealt.select("label", "cell", i.alias("i"), j.alias("j"), "vec", "x", "copies", F.when(i == j, 0).when(F.col("own") == i, 1).otherwise(2).alias("side")).select(*columns)
     found = checkpoint(sided.groupBy("label", "cell", "i", "j").applyInArrow(_pairs, "vec long, links long, least long"))
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("vec").alias("a"), F.col("least").alias("b")))
-    classes = classes.where("embedding IS NOT NULL").select("label", "key", "vec", "copies", comparable(F.col("embedding")).alias("good"))
+    classes = classes.where("embedding IS NOT NULL").select("label", "key", "vec", "least_id", "copies", comparable(F.col("embedding")).alias("good"))
     classes = classes.join(links, "vec", "left").join(roots.withColumnRenamed("node", "vec"), "vec", "left")
-    classes = classes.select(F.col("label").alias("l"), F.col("key").alias("k"), "good", "vec", "copies", "links", "component")
+    classes = checkpoint(classes)
+    least = checkpoint(classes.where("component IS NOT NULL").groupBy("component").agg(F.min("least_id").alias("component_id")))
+    classes = classes.join(small(least), "component", "left").withColumn("component_id", F.coalesce("component_id", "least_id"))
+    classes = checkpoint(classes.select(F.col("label").alias("l"), F.col("key").alias("k"), "good", "copies", "links", "component_id"))  # a table of its own: Spark can split the rows of a vector with very many copies
     out = rows.join(classes, (F.col("label") == F.col("l")) & (F.col("key") == F.col("k")), "left")
     n_links = F.when(F.col("good"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long")
-    component = F.when(F.col("good"), F.coalesce("component", "vec")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

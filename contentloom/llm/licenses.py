@@ -8,8 +8,9 @@ shingles at every c-th shingle, so one window holds the whole place where a
 template stands. A window and a template share a bucket if one of BANDS
 min-hashes is equal: with at least CONTAINMENT of the template in the window
 their Jaccard similarity j is at least about 0.17, and the chance of no equal
-min-hash is (1 - j)**BANDS, below 1 in 100 for the worst and below 1 in 10**6
-for a window that holds a whole template of c shingles. What buckets retrieve is
+min-hash is (1 - j)**BANDS, below 1 in 100 for the worst; for a window that holds
+a whole template it is below 1 in 10**6 if that has c shingles and below 1 in
+10**4 if it has hardly more than c / 2. What buckets retrieve is
 verified by the distinct shingles (64-bit hashes) of the template in the window.
 
 Texts are cut only if they can match at all: of each template the rarest words
@@ -88,8 +89,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     containment is the greatest part of the template's shingles in one window,
     first_word the place of the first shingle of the earliest such window that
     belongs to the template. Null and empty texts hold nothing; rows that
-    repeat an id count as one document's. Other columns are not read;
-    documents without a license give no row.
+    repeat an id count as one document's. Texts of any length are read whole, as
+    an array of 8 bytes a word. Other columns are not read; documents without a
+    license give no row, nor does an empty table.
     """
     templates = TEMPLATES if templates is None else templates
     spark: SparkSession = docs.sparkSession
@@ -118,9 +120,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     seeds = least.select("c", F.explode("least").alias("h")).distinct()
     at = texts.select("row", F.posexplode("hashes").alias("pos", "h")).join(F.broadcast(seeds), "h")
     last = F.floor(F.col("pos") / F.col("c")).cast("int")
-    asked = at.select("row", "c", F.explode(F.array(F.greatest(last - 1, F.lit(0)), last)).alias("win")).distinct()
-    windows = asked.join(texts, "row").select("doc_id", "row", "c", "win", F.slice("hashes", F.col("win") * F.col("c") + 1, 2 * F.col("c")).alias("own"))
-    windows = windows.where(F.size("own") > 0)
+    asked = at.select("row", F.explode(F.array(F.struct("c", F.greatest(last - 1, F.lit(0)).alias("win")), F.struct("c", last.alias("win")))).alias("w"))
+    asked = asked.groupBy("row").agg(F.collect_set("w").alias("wins"))  # one row for each text: its hashes pass the join once, and only their windows go on
+    own = F.transform("wins", lambda w: F.struct(w["c"].alias("c"), w["win"].alias("win"), F.slice("hashes", w["win"] * w["c"] + 1, 2 * w["c"]).alias("own")))
+    windows = asked.join(texts, "row").select("doc_id", "row", F.explode(own).alias("w")).select("doc_id", "row", "w.*").where(F.size("own") > 0)
     wanted = banded(theirs, ["license", "c"], "theirs")
     found = banded(windows, ["doc_id", "row", "c", "win", "own"], "own").join(F.broadcast(wanted), ["c", "band", "low"])
     found = found.select("doc_id", "row", "c", "win", "own", "license").distinct()

@@ -4,14 +4,14 @@ Rules and blocked hosts are stored as one array of 64-bit xxhash keys, sorted,
 with the full strings beside it. The driver writes the array to a file and
 hands it to the executors with addFile(); workers memory-map it, probe all
 candidates of a batch by one vectorised binary search, and compare the stored
-strings, so that two strings with one digest are told apart.
+strings, so that two strings with one digest are told apart. Hosts may come from
+a table; its size is checked before it is handed out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,11 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Hosts blocked, with their subdomains, where no rule fits.
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
+#: Rules and hosts handed out may have so many bytes, of which executors map a file; the driver holds them once.
+MOST_BYTES = 512 << 20
+
 ENTRY = np.dtype([("key", "<u8"), ("at", "<u8"), ("size", "<u4"), ("verdict", "u1")])
 
 
@@ -40,12 +44,12 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def write_array(entries: Iterable[tuple[str, str]], folder: str) -> str:
     """(verdict, string) pairs as a file: count, sorted entries, strings. The name tells the content."""
-    rows = sorted({(xxhash.xxh64_intdigest(text.encode()), text.encode(), verdict) for verdict, text in entries})
+    rows = sorted({(xxhash.xxh64_intdigest(text.encode()), text.encode(), verdict == "block") for verdict, text in entries})
     table = np.zeros(len(rows), ENTRY)
-    sizes = [len(text) for _, text, _ in rows]
-    table["key"] = [key for key, _, _ in rows]
-    table["at"], table["size"] = np.cumsum([0, *sizes])[:-1], sizes
-    table["verdict"] = [verdict == "block" for *_, verdict in rows]
+    table["key"] = np.fromiter((key for key, _, _ in rows), np.uint64, len(rows))
+    table["size"] = [len(text) for _, text, _ in rows]
+    table["at"] = np.cumsum(table["size"], dtype=np.uint64) - table["size"]
+    table["verdict"] = [block for *_, block in rows]
     data = np.uint64(len(rows)).tobytes() + table.tobytes() + b"".join(text for _, text, _ in rows)
     path = os.path.join(folder, f"urls-{hashlib.sha256(data).hexdigest()[:16]}.bin")
     with open(path, "wb") as f:
@@ -78,24 +82,41 @@ class DigestArray:
         return found
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and every domain above it."""
-    parts = host.split(".")
-    return [".".join(parts[k:]) for k in range(len(parts))] if host else []
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and the domains above it, of at most so many characters."""
+    tail = host[-longest - 1 :]
+    parts = tail.split(".")
+    out = [tail] if host and len(host) <= longest else []
+    return out + [".".join(parts[k:]) for k in range(1, len(parts))]
+
+
+def listed_hosts(blocked: DataFrame | Iterable[str]) -> list[str]:
+    """Distinct hosts, A-Z lower-cased, of a table (host) or of strings; nulls and empty ones say nothing."""
+    if isinstance(blocked, DataFrame):
+        hosts = blocked.select(F.col("host").cast("string").alias("host")).where("host IS NOT NULL").distinct()
+        if (size := hosts.agg(F.sum(F.octet_length("host") + ENTRY.itemsize)).first()[0] or 0) > MOST_BYTES:
+            raise ValueError(f"the hosts are {size} bytes, more than {MOST_BYTES}: filter by parts of them")
+        blocked = hosts.toArrow()["host"].to_pylist()
+    return sorted({h.encode().lower().decode() for h in blocked if h})
 
 
 def filter_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, key: str = "page_id") -> DataFrame:
-    """key, host, path, rule, verdict for every row of pages (key, url).
+    """key, host, path, rule, verdict for every row of pages (key, url); blocked holds hosts, or is a table (host).
 
     The longest rule that fits decides; without one the url is blocked if its
     host or a domain above it is in blocked, else allowed. A null url and one
     without :// have an empty host and path, fit no rule and are allowed.
-    Repeated rows each give a row; other columns are not read.
+    Urls of any length are read whole. Repeated rows each give a row, an empty
+    table none; other columns are not read.
     """
     spark = pages.sparkSession
+    blocked = listed_hosts(blocked)
     # a rule's stored string is host + path, a blocked host's ends in a blank, which no rule has before its path
     entries = [(verdict, host + path) for verdict, host, path in rules] + [("block", f"{host} ") for host in blocked]
-    path = write_array(entries, tempfile.mkdtemp(prefix="contentloom-"))
+    folder = os.path.join(SparkFiles.getRootDirectory(), "arrays")  # the driver's own, which Spark removes; executors fetch the file from the driver
+    os.makedirs(folder, exist_ok=True)
+    path = write_array(entries, folder)
+    longest = max((len(h) for h in [*blocked, *(h for _, h, _ in rules)]), default=0)
     name, lengths = os.path.basename(path), sorted({len(p) for _, _, p in rules})
     if not os.path.exists(SparkFiles.get(name)):  # the same content may have been handed out already
         spark.sparkContext.addFile(path)
@@ -108,7 +129,7 @@ def filter_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, key: str =
             texts: list[bytes] = []
             owner: list[int] = []
             for i, (host, path) in enumerate(split):
-                for domain in suffixes(host):
+                for domain in suffixes(host, longest):
                     some = [domain + path[:n] for n in lengths if n <= len(path)] + [f"{domain} "]
                     texts += [x.encode() for x in some]
                     owner += [i] * len(some)

@@ -173,20 +173,51 @@ def test_embeddings_equal_brute_force(spark):
         assert all(found[i] == (n[i], root[i], root[i] == i) for i in ids)
     assert all(found[i] == (0, i, True) for i in (2000, 2001, 2002, 2003, 2004))
     assert found[None] == (0, None, False)
+    assert embedjoin.near_embeddings(frame.limit(0)).collect() == []
 
 
-def test_cells_lose_no_pair(spark, monkeypatch):
-    """Many cells and blocks find the links that one cell finds."""
+def test_embeddings_of_odd_labels_and_repeated_ids(spark):
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, one, 1.2), (2, one, 1.4), (3, one, 1.2), (4, two, 1.2), (4, one, 1.4), (4, two, 1.2)]
+    frame = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label double")
+    found = sorted(map(tuple, embedjoin.near_embeddings(frame).collect()))
+    assert found == sorted([(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 2, False), (4, 1, 4, True)])
+    names = frame.withColumn("label", F.concat(F.lit("l"), F.col("label")))
+    assert sorted(map(tuple, embedjoin.near_embeddings(names).collect())) == found
+
+
+def test_blocks_of_a_cell_find_what_one_block_does(spark, monkeypatch):
     r = np.random.default_rng(4)
     base = r.standard_normal((150, 16))
     rows = [(k, [float(v) for v in base[k % 150] + r.standard_normal(16) * 0.08], 1) for k in range(600)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     one = {tuple(x) for x in embedjoin.near_embeddings(frame).collect()}
-    monkeypatch.setattr(embedjoin, "CELL_ROWS", 60)
     monkeypatch.setattr(embedjoin, "BLOCK", 40)
     assert {tuple(x) for x in embedjoin.near_embeddings(frame).collect()} == one
 
 
+def test_tables_of_cells_find_each_pair_once():
+    """The whole path of a large label, in one process: recall, and no pair twice."""
+    r = np.random.default_rng(7)
+    base = embedjoin.unit(list(r.standard_normal((1500, 24))))
+    pairs = [(x, embedjoin.unit([x + r.standard_normal(24) * 0.19 / math.sqrt(24)])[0]) for x in base]
+    rows = [x for pair in pairs for x in pair]
+    table = pa.table({"label": ["l"] * len(rows), "vec": range(len(rows)), "embedding": [x.tolist() for x in rows], "copies": [1] * len(rows), "rows": [10**6] * len(rows)})
+    cells = pa.Table.from_batches(embedjoin._cells(table.to_batches()))
+    axes, count = embedjoin.tables(10**6)
+    assert len(cells) == count * len(rows) and count <= 20 and embedjoin.tables(10**9)[1] <= 64 and embedjoin.tables(100) == (0, 1)
+    groups = {}
+    for k, cell in enumerate(cells["cell"].to_pylist()):
+        groups.setdefault(cell, []).append(k)
+    links = np.zeros(len(rows), np.int64)
+    for cell, at in groups.items():
+        found = embedjoin._pairs((pa.scalar("l"), pa.scalar(cell)), cells.take(at).append_column("side", pa.array([0] * len(at))))
+        links[found["vec"].to_numpy()] += found["links"].to_numpy()
+    x = np.stack(rows)
+    want = ((x @ x.T) >= embedjoin.COSINE).sum(1) - 1
+    assert want.sum() > 1000 and (links <= want).all() and links.sum() >= 0.99 * want.sum()
+
+
 def filled(sizes, weights, share):
     """Water filling: what passes a limit is shared again."""
     total, target, capped = share * sum(sizes.values()), {}, set()

@@ -217,6 +217,17 @@ def test_digests_that_collide_are_told_apart(tmp_path, monkeypatch):
     assert (found[:30] >= 0).all() and len(set(found[:30])) == 30 and (found[30:] == -1).all()
 
 
+def test_hosts_from_a_table_and_hostile_urls(spark):
+    """A million hosts, and hosts and paths of a million characters."""
+    hosts = spark.range(1_000_000).select(F.concat(F.lit("H"), "id", F.lit(".Listed.org")).alias("host")).unionByName(spark.createDataFrame([(None,), ("",)], "host string"))
+    rows = [(1, "http://h77.listed.org/x"), (2, "http://a.b.h999999.listed.org"), (3, "http://h1000000.listed.org/"), (4, "http://listed.org/"), (5, "http://" + "a." * 500_000 + "h5.listed.org/" + "p" * 1_000_000), (6, "http://" + "." * 1_000_000), (7, "http://xh77.listed.org/"), (8, "http://n.h3.listed.org.com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.perf_counter()
+    found = {x.page_id: x.verdict for x in urlfilter.filter_urls(pages, blocked=hosts).select("page_id", "verdict").collect()}
+    assert [k for k in found if found[k] == "block"] == [1, 2, 5] and len(found) == 8 and time.perf_counter() - began < 60
+    assert urlfilter.filter_urls(pages.limit(0)).collect() == [] and urlfilter.filter_urls(pages, rules=(), blocked=()).where("verdict <> 'allow'").collect() == []
+
+
 # --- html
 
 
