@@ -208,6 +208,23 @@ def manifest_index(spark, sf_dir):
     return blocks.index(*[table(spark, sf_dir, t).select(F.sha2(F.col("text").cast("binary"), 256).alias("cid")) for t in ("documents", "benchmark")])
 
 
+@query(f"WITH {BLOCKS_SQL} SELECT cid, size IS NULL OR cid IN (SELECT sha256(text) FROM benchmark) AS old FROM (SELECT cid, size FROM b UNION ALL SELECT DISTINCT sha256(text), NULL FROM benchmark WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT cid FROM b))")
+def put_indexed(spark, sf_dir):
+    """The documents put into a store that has the benchmark's blocks: the manifest, and which of it the store had."""
+    there = blocks.put(table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("text").cast("binary").alias("data")))
+    new, manifest = blocks.put_indexed(workload.blocks(spark, sf_dir), there, blocks.index(there))
+    return manifest.join(new.select("cid", F.lit(False).alias("new")), "cid", "left").select("cid", F.col("new").isNull().alias("old"))
+
+
+@query("WITH asked AS (SELECT coalesce(sha256(text), 'none') AS cid FROM labels LEFT JOIN documents ON labels.doc_id = documents.doc_id) SELECT DISTINCT cid FROM (SELECT sha256(text) AS cid FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT cid FROM asked WHERE cid <> 'none')")
+def get_indexed(spark, sf_dir):
+    """The benchmark's manifest after lookups of the labelled documents: those found are in it as well."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    asked = table(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id", "left").select(F.coalesce("h", F.lit("none")).alias("cid"))
+    there = blocks.index(table(spark, sf_dir, "benchmark").select(F.sha2(F.col("text").cast("binary"), 256).alias("cid")))
+    return blocks.lookup_indexed(asked, blocks.put(workload.blocks(spark, sf_dir)), there)[1]
+
+
 @query("SELECT trim(line) AS cid, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY 1")
 def manifest_parse(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
@@ -244,9 +261,16 @@ def restore_budget(spark, sf_dir):
     return blocks.restore(asked, store, 500_000)
 
 
-@query("WITH p AS (SELECT s_nationkey AS cid, arg_max(s_name, s_suppkey) AS provider FROM supplier WHERE s_suppkey % 9 <> 0 GROUP BY 1) SELECT doc_id, coalesce(provider, 'self') AS provider FROM documents LEFT JOIN (SELECT * FROM p WHERE cid <> 3) p ON doc_id % 30 = cid")
+@query("WITH m AS (SELECT n_chars, ceil(row_number() OVER (ORDER BY o_orderkey) * 10.0 / count(*) OVER ())::INTEGER AS step FROM orders LEFT JOIN documents ON doc_id = o_orderkey), e AS (SELECT step, count(n_chars) AS ok, count(*) - count(n_chars) AS failed, coalesce(sum(n_chars), 0) AS bytes FROM m GROUP BY step) SELECT step, sum(ok) OVER (ORDER BY step)::BIGINT AS ok, sum(failed) OVER (ORDER BY step)::BIGINT AS failed, sum(bytes) OVER (ORDER BY step)::BIGINT AS bytes FROM e")
+def restore_progress(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("cid"))
+    store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), F.col("n_chars").alias("size"))
+    return blocks.restore_progress(asked, store)
+
+
+@query("WITH p AS (SELECT s_nationkey AS cid, arg_max(s_name, s_suppkey) AS provider FROM supplier GROUP BY 1) SELECT doc_id, coalesce(provider, 'self') AS provider FROM documents LEFT JOIN (SELECT * FROM p WHERE cid <> 3) p ON doc_id % 30 = cid")
 def provider_lookup(spark, sf_dir):
-    bound = table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("seq"), F.col("s_nationkey").cast("long").alias("cid"), F.col("s_name").alias("provider"))
+    bound = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_nationkey").cast("long").alias("cid"), F.col("s_name").alias("provider"))
     known = blocks.cleared(blocks.latest_providers(bound), spark.createDataFrame([(3,)], "cid long"))
     asked = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 30).alias("cid"))
     return blocks.provide(asked, known, "self").select("doc_id", "provider")
@@ -358,6 +382,18 @@ def handshake_exchanges(spark, sf_dir):
     return handshake.exchanges(rows.select(F.col("conv_id").alias("conv"), "turn", "role"))
 
 
+@query("""WITH m AS (SELECT conv_id AS conv, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role DESC) AS n FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL AND conv_id IS NOT NULL),
+k AS (SELECT conv, n, turn, CASE role WHEN 'user' THEN 'initiator' ELSE 'responder' END AS role, CASE WHEN turn < 2 THEN 'version' ELSE 'verack' END AS kind FROM m WHERE n <= 5),
+s AS (SELECT conv, count(*) AS n, bool_and(CASE n WHEN 1 THEN role = 'initiator' AND kind = 'version' WHEN 2 THEN role = 'responder' AND kind = 'version' WHEN 3 THEN role = 'initiator' AND kind = 'verack' WHEN 4 THEN role = 'responder' AND kind = 'verack' ELSE false END) AS fits, max(turn) - min(turn) AS took FROM k GROUP BY conv)
+SELECT conv, CASE WHEN NOT fits THEN 'order' WHEN took > 5 THEN 'timeout' WHEN n = 4 THEN 'ok' ELSE 'open' END AS outcome FROM s""")
+def handshake_completed(spark, sf_dir):
+    """Conversations taken for handshakes: the user's side begins, its first two turns are versions, a turn takes a second."""
+    c = table(spark, sf_dir, "conversations").where("role IS NOT NULL AND turn IS NOT NULL AND conv_id IS NOT NULL")
+    side = F.when(F.col("role") == "user", "initiator").otherwise("responder")
+    kind = F.when(F.col("turn") < 2, "version").otherwise("verack")
+    return handshake.completed(c.select(F.col("conv_id").alias("conv"), "turn", side.alias("role"), kind.alias("kind"), F.col("turn").alias("at")))
+
+
 @query("SELECT event_id, user_id AS peer FROM events e WHERE user_id IS NOT NULL AND (event_type = 'view' OR EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'signup' AND v.user_id = e.user_id))")
 def gate_filter(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("event_id", F.col("user_id").alias("peer"), "event_type")

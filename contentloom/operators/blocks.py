@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.prefix import running_before
+from ..functions.expressions import limit_or
+from ..plans.prefix import ranked, running_before
 
 
 def key(data: Column) -> Column:
@@ -19,6 +21,16 @@ def put(data: DataFrame, store: DataFrame | None = None) -> DataFrame:
     return new if store is None else new.join(store.select("cid"), "cid", "left_anti")
 
 
+def put_indexed(data: DataFrame, store: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks that are new to the store, the manifest with all blocks of data)."""
+    return put(data, store), index(manifest, put(data))
+
+
+def lookup_indexed(asked: DataFrame, store: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lookup(), the manifest with those of asked that were found)."""
+    return lookup(asked, store), index(manifest, asked.join(store.select("cid"), "cid", "left_semi"))
+
+
 def index(*cids: DataFrame) -> DataFrame:
     """The manifest: the set of all cids; a null is none."""
     every = cids[0].select("cid")
@@ -40,6 +52,11 @@ def page(manifest: DataFrame, after: str = "", limit: int = 1000) -> DataFrame:
     return rows.limit(limit) if limit > 0 else rows
 
 
+def snapshot(manifest: DataFrame, after: str = "", limit: str | int | None = None) -> DataFrame:
+    """page() as a client asks for it: a limit that is no number from 1 to 100,000 means 1,000."""
+    return page(manifest, after, limit_or(limit, 1000, 100_000))
+
+
 def missing(manifest: DataFrame, store: DataFrame) -> DataFrame:
     return manifest.join(store.select("cid"), "cid", "left_anti")
 
@@ -57,6 +74,17 @@ def restore(manifest: DataFrame, store: DataFrame, budget: int = 0) -> DataFrame
     return rows.agg(F.count_if(there).alias("ok"), F.count_if(~there).alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
 
 
+def restore_progress(manifest: DataFrame, store: DataFrame, steps: int = 10) -> DataFrame:
+    """step, ok, failed, bytes: what a restore of manifest (pos, cid) has done after each of so many equal parts of its items, in the order of pos."""
+    rows = ranked(manifest.select("pos", "cid"), ["pos", "cid"], "place").join(store.select("cid", F.col("size").alias("bytes")), "cid", "left")
+    total = manifest.agg(F.count("*").alias("total"))
+    rows = rows.join(F.broadcast(total)).withColumn("step", F.ceil(F.col("place") * steps / F.col("total")).cast("int"))
+    there = F.col("bytes").isNotNull()
+    each = rows.groupBy("step").agg(F.count_if(there).alias("ok"), F.count_if(~there).alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+    so_far = W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)  # a row for each step
+    return each.select("step", *[F.sum(c).over(so_far).alias(c) for c in ("ok", "failed", "bytes")])
+
+
 def latest_providers(bound: DataFrame) -> DataFrame:
     """cid, provider: the last one bound (seq, cid, provider)."""
     return bound.groupBy("cid").agg(F.max(F.struct("seq", "provider"))["provider"].alias("provider"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expressions import limit_or
 from ..plans.prefix import ranked
 
 TYPE = "peer_added"
@@ -43,6 +44,11 @@ def recent(log: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_ok", whole & (F.col("type") == TYPE)).withColumn("_all", F.min(F.col("_ok").cast("int")).over(W.orderBy(F.desc("height")))).where("_all = 1").drop("_ok", "_all")
 
 
+def recent_page(log: DataFrame, limit: str | int | None = None) -> DataFrame:
+    """recent() as a client asks for it: a limit that is no number from 1 to 1,000 means 50."""
+    return recent(log, limit_or(limit, 50, 1000))
+
+
 def sync_suffix(local: DataFrame, remote: DataFrame, remote_height: int, max_depth: int = 0, max_block: int = 0) -> DataFrame:
     """What a sync from a remote log does: applied, cid and height of the head after it, and error (null for none).
 

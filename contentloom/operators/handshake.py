@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -33,6 +34,25 @@ def exchanges(messages: DataFrame) -> DataFrame:
     return sides.select("conv", F.col("n").alias("messages"), whole.alias("complete"))
 
 
+STEPS = (("initiator", "version"), ("responder", "version"), ("initiator", "verack"), ("responder", "verack"))
+
+
+def completed(messages: DataFrame, timeout_s: float = 5) -> DataFrame:
+    """conv, outcome of exchanges (conv, turn, role, kind, at in seconds).
+
+    A version of each side and then a verack of each side, the initiator first,
+    all before the deadline: then the outcome is ok. Else it is order, if the
+    messages so far are not the first of these; timeout, if one came late; open.
+    """
+    place = F.row_number().over(W.partitionBy("conv").orderBy("turn", "role"))
+    least = [F.when(F.col("_n") == k + 1, (F.col("role") == role) & (F.col("kind") == kind)) for k, (role, kind) in enumerate(STEPS)]
+    right = F.coalesce(*least, F.lit(False))
+    kept = messages.withColumn("_n", place).where(F.col("_n") <= len(STEPS) + 1)  # a rank filter: long conversations stay small
+    seen = kept.groupBy("conv").agg(F.count("*").alias("n"), F.bool_and(right).alias("right"), (F.max("at") - F.min("at")).alias("took"))
+    outcome = F.when(~F.col("right"), "order").when(F.col("took") > timeout_s, "timeout").when(F.col("n") == len(STEPS), "ok").otherwise("open")
+    return seen.select("conv", outcome.alias("outcome"))
+
+
 def gated(streams: DataFrame, verified: DataFrame) -> DataFrame:
     """Streams (peer, protocol) of verified peers (peer), and the handshake's own."""
     known = verified.select(F.col("peer").alias("_v")).distinct()

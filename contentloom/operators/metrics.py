@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import peer_address
 from ..schemas import METRICS
 
 
@@ -14,6 +15,12 @@ def counters(increments: DataFrame) -> DataFrame:
     return increments.agg(*[F.coalesce(F.sum(F.when(F.col("name") == m, positive)), F.lit(0)).cast("long").alias(m) for m in METRICS])
 
 
+def identity(spark: SparkSession, peer: str, addrs: list[str]) -> DataFrame:
+    """The node's own row: peer, addrs and the addresses that others dial."""
+    one = spark.createDataFrame([(peer, addrs)], "peer string, addrs array<string>")
+    return one.withColumn("dial", F.transform("addrs", lambda a: peer_address(a, F.col("peer"))))
+
+
 def status(head: DataFrame, metrics: DataFrame, peers: DataFrame) -> DataFrame:
     """Head, height, known peers and counters in one row."""
     known = peers.agg(F.count("*").alias("known_peers"))

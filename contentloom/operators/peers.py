@@ -68,8 +68,19 @@ def candidates(peers: DataFrame, clock: DataFrame, limit: int = 20, want: int =
     return kept.limit(limit) if limit > 0 else kept
 
 
+def candidates_page(peers: DataFrame, clock: DataFrame, limit: str | int | None = None) -> DataFrame:
+    """candidates() as a client asks for them: a limit that is no number from 1 to 200 means 20."""
+    return candidates(peers, clock, X.limit_or(limit, 20, 200))
+
+
+def policy(stale_s: int = 0, max_fail: int = 0) -> tuple[int, int]:
+    """The limits of pruning; what is not above 0 leaves the usual one."""
+    return stale_s if stale_s > 0 else STALE_S, max_fail if max_fail > 0 else MAX_FAIL
+
+
 def pruned(peers: DataFrame, clock: DataFrame, stale_s: int = STALE_S, max_fail: int = MAX_FAIL) -> tuple[DataFrame, DataFrame]:
-    """(peers that stay, peers that go)."""
+    """(peers that stay, peers that go); limits as policy() has them."""
+    stale_s, max_fail = policy(stale_s, max_fail)
     every = peers.join(F.broadcast(clock))
     bad = X.stale(F.col("now"), stale_s, max_fail)
     return every.where(~bad).drop("now"), every.where(bad).drop("now")
@@ -89,6 +100,11 @@ def sample(peers: DataFrame, clock: DataFrame, limit: int = SAMPLE) -> DataFrame
     return best.select("peer", F.explode("addrs").alias("addr")).select(X.peer_address(F.col("addr"), F.col("peer").cast("string")).alias("entry"))
 
 
+def as_json(rows: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """key, value (JSON) for every row, as rows are stored and answered: load() reads them back."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias(value))
+
+
 def first_per_key(rows: DataFrame, key: str, order: list[Column | str], most: int) -> DataFrame:
     """At most so many rows of each key, the first ones.
 

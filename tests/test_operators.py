@@ -10,6 +10,7 @@ from contentloom.functions import expressions as X
 from contentloom.operators import blocks, eventlog, handshake, metrics, peers
 from contentloom.plans import chain, prefix
 from contentloom.sources import text
+from contentloom.streaming import peers as stream
 
 ACTION = "seq long, at long, peer long, kind string, addrs array<string>, services long, source string"
 NOW = 1_000_000
@@ -113,10 +114,10 @@ def test_deficit(spark):
 
 
 def manifest(spark):
-    store = blocks.put(spark.createDataFrame([(b"alpha",), (b"beta",), (b"alpha",)], "data binary"))
-    names = [("alpha",), ("beta",), ("this-is-missing",)]
+    store = blocks.put(spark.createDataFrame([(b"ochre",), (b"teal",), (b"ochre",)], "data binary"))
+    names = [("ochre",), ("teal",), ("umber",)]
     cids = [r.cid for r in spark.createDataFrame(names, "n string").select(F.sha2("n", 256).alias("cid")).collect()]
-    return store, spark.createDataFrame(list(enumerate([*cids, "not-a-cid"])), "pos long, cid string")
+    return store, spark.createDataFrame(list(enumerate([*cids, "??"])), "pos long, cid string")
 
 
 @pytest.mark.parametrize("budget,ok,size", [(0, 2, 9), (5, 1, 5), (6, 2, 9), (100, 2, 9)])
@@ -128,9 +129,9 @@ def test_restore(spark, budget, ok, size):
 
 def test_put_lookup_page(spark):
     store, asked = manifest(spark)
-    assert store.count() == 2 and blocks.put(spark.createDataFrame([(b"beta",), (b"new",)], "data binary"), store).count() == 1
+    assert store.count() == 2 and blocks.put(spark.createDataFrame([(b"teal",), (b"new",)], "data binary"), store).count() == 1
     found = blocks.lookup(asked, store).orderBy("pos").collect()
-    assert [(r.found, r.size, r.data_b64) for r in found] == [(True, 5, "YWxwaGE="), (True, 4, "YmV0YQ=="), (False, None, None), (False, None, None)]
+    assert [(r.found, r.size, r.data_b64) for r in found] == [(True, 5, "b2NocmU="), (True, 4, "dGVhbA=="), (False, None, None), (False, None, None)]
     assert blocks.missing(asked, store).count() == 2
     every = blocks.index(asked, asked, store)
     pages, after = [], ""
@@ -254,3 +255,64 @@ def test_counters(spark):
     row = metrics.counters(rows).first().asDict()
     assert row["dials_failed"] == 1 and row["restore_bytes"] == 5 and sum(row.values()) == 6
     assert sum(metrics.counters(rows.limit(0)).first()) == 0
+
+
+# --- pages, policies, jobs and streams
+
+
+def test_limits_as_clients_ask_for_them(spark):
+    cids = spark.range(1500).select(F.format_string("%05d", "id").alias("cid"))
+    assert [blocks.snapshot(cids, limit=x).count() for x in (None, "x", "0", "100001", "7")] == [1000, 1000, 1000, 1000, 7]
+    log = spark.range(1, 1200).select(F.col("id").alias("height"), F.lit("c").alias("cid"), F.lit(eventlog.TYPE).alias("type"))
+    assert [eventlog.recent_page(log, x).count() for x in (None, "1001", "1000", 3)] == [50, 50, 1000, 3]
+
+
+def test_policy_ignores_what_is_not_above_zero(spark):
+    assert peers.policy() == peers.policy(-1, 0) == (peers.STALE_S, peers.MAX_FAIL) and peers.policy(5, 2) == (5, 2)
+
+
+def test_put_and_get_keep_the_manifest(spark):
+    data = spark.createDataFrame([(b"a",), (b"b",), (b"b",)], "data binary")
+    there = blocks.put(spark.createDataFrame([(b"a",), (b"z",)], "data binary"))
+    new, manifest = blocks.put_indexed(data, there, spark.createDataFrame([("q",)], "cid string"))
+    assert new.count() == 1 and manifest.count() == 3
+    asked = spark.createDataFrame([("none",)], "cid string").unionByName(there.select("cid"))
+    found, manifest = blocks.lookup_indexed(asked, there, blocks.index(new))
+    assert found.where("found").count() == 2 and manifest.count() == 3
+
+
+def test_handshakes_in_order_and_in_time(spark):
+    right = [("initiator", "version"), ("responder", "version"), ("initiator", "verack"), ("responder", "verack")]
+    rows = [("ok", k, r, m, k) for k, (r, m) in enumerate(right)] + [("late", k, r, m, 2.0 * k) for k, (r, m) in enumerate(right)]
+    rows += [("open", k, r, m, k) for k, (r, m) in enumerate(right[:2])] + [("order", k, r, m, k) for k, (r, m) in enumerate([right[0], right[2]])]
+    rows += [("more", k, r, m, k) for k, (r, m) in enumerate([*right, *right])]
+    found = handshake.completed(spark.createDataFrame([(c, k, r, m, float(t)) for c, k, r, m, t in rows], "conv string, turn int, role string, kind string, at double"))
+    assert {x.conv: x.outcome for x in found.collect()} == {"ok": "ok", "late": "timeout", "open": "open", "order": "order", "more": "order"}
+
+
+def test_identity_and_json_rows(spark):
+    (own,) = metrics.identity(spark, "P", ["/ip4/1.2.3.4/tcp/1"]).collect()
+    assert own.dial == ["/ip4/1.2.3.4/tcp/1/p2p/P"]
+    rows = spark.createDataFrame([("a", 3)], "peer_id string, services long")
+    assert [tuple(x)[:1] + (x.services,) for x in peers.load(peers.as_json(rows, "peer_id")).collect()] == [("a", 3)]
+
+
+def test_streamed_upserts_prune_gate_and_gossip(spark, tmp_path):
+    acts = [(1, 100, 5, "seen", ["/x"], 1, "seed"), (2, 110, 5, "failure", [], 0, ""), (3, 120, 6, "failure", [], 0, ""), (4, 130, 6, "success", [], 2, ""), (5, 140, 6, "failure", [], 0, "")]
+    schema = "seq long, at long, peer long, kind string, addrs array<string>, services long, source string"
+    for k in range(2):  # two batches
+        spark.createDataFrame(acts[3 * k : 3 * k + 3], schema).coalesce(1).write.parquet(f"{tmp_path}/acts/{k}")
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/acts")
+    stream.run_upserts(source, f"{tmp_path}/state", f"{tmp_path}/rows")
+    found = {x.peer_id: (x.addrs, x.services, x.last_seen_unix, x.failure_count) for x in peers.load(stream.current(spark, f"{tmp_path}/rows")).collect()}
+    assert found == {"5": (["/x"], 1, 100, 1), "6": ([], 2, 130, 1)}
+    assert stream.prune_tick(spark, f"{tmp_path}/rows", f"{tmp_path}/stay", 160, 50) == 1
+    assert [x.peer for x in spark.read.parquet(f"{tmp_path}/stay").collect()] == ["6"]
+
+    asked = source.select(F.col("peer").cast("string").alias("peer"), F.when(F.col("seq") == 1, handshake.PROTOCOL).otherwise("/other").alias("protocol"))
+    passed = handshake.gated(asked, spark.createDataFrame([("6",)], "peer string"))
+    passed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/gate").option("path", f"{tmp_path}/passed").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((x.peer, x.protocol) for x in spark.read.parquet(f"{tmp_path}/passed").collect()) == [("5", handshake.PROTOCOL), *[("6", "/other")] * 3]
+
+    stream.gossip_log(source.select("seq", F.col("at").alias("ts"), F.col("peer").cast("string").alias("peer")), f"{tmp_path}/gs", f"{tmp_path}/log", "6")
+    assert [(x.seq, x.peer) for x in spark.read.parquet(f"{tmp_path}/log").collect()] == [(1, "5")]
