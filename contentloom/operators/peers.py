@@ -11,6 +11,7 @@ from ..schemas import PEER
 
 STALE_S, MAX_FAIL, MAX_KNOWN = 24 * 3600, 8, 5000
 SAMPLE = 16
+SPREAD = 16
 
 
 def load(lines: DataFrame) -> DataFrame:
@@ -48,7 +49,10 @@ def fold(acts: DataFrame, score_now: DataFrame | None = None) -> DataFrame:
 def failures(acts: DataFrame) -> DataFrame:
     """peer, failure_count: failures after the last success, for every peer."""
     won = acts.where("kind = 'success'").groupBy(F.col("peer").alias("p")).agg(F.max("seq").alias("won"))
-    lost = acts.where("kind = 'failure'").select("peer", "seq").join(won, F.col("peer") == F.col("p"), "left").where(F.col("won").isNull() | (F.col("seq") > F.col("won")))
+    # a peer's failures meet its last success in SPREAD tasks, so one with very many is no single task's
+    won = won.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    lost = acts.where("kind = 'failure'").select("peer", "seq", F.pmod(F.xxhash64("seq"), F.lit(SPREAD)).cast("int").alias("salt"))
+    lost = lost.join(won, (F.col("peer") == F.col("p")) & (F.col("salt") == F.col("s")), "left").where(F.col("won").isNull() | (F.col("seq") > F.col("won")))
     counted = lost.groupBy(F.col("peer").alias("p")).agg(F.count("*").alias("n"))
     return acts.select("peer").distinct().join(counted, F.col("peer") == F.col("p"), "left").select("peer", F.coalesce("n", F.lit(0)).cast("long").alias("failure_count"))
 
