@@ -44,9 +44,11 @@ from .textkernel import U64, mix, shingle_sets
 SHINGLE = 5
 CENTRES = 3
 #: Tokens of one hash range at the first dealing; entries of one group of tries, and how many groups there are at least.
-RANGE_TOKENS = 1 << 20
+RANGE_TOKENS = 1 << 19
 GROUP_ENTRIES = 1 << 16
 LEAST_GROUPS = 64
+#: Tokens that a task settles at once.
+HELD_TOKENS = 1 << 18
 #: A token with more entries is dealt in pairs of blocks of about this size.
 BLOCK = 1 << 11
 #: Members of a path of a trie; deeper ones would only prune more.
@@ -139,7 +141,7 @@ def _dealing(bits: int) -> Callable:
                     parts.append(members[: dealt(n)])
                     tags.append(signature(members)[0])
                     held += len(parts[-1])
-                    if held >= RANGE_TOKENS:
+                    if held >= HELD_TOKENS:
                         yield out(parts, tags)
                         parts, tags, held = [], [], 0
         if parts:
