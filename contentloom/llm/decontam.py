@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .textkernel import ALNUM, U64, pieces, shingles, spaced, word_hashes, words
 
 SHINGLE = 5
@@ -263,7 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 types = [None, pa.int32() if item_type == "int" else pa.int64() if item_type == "bigint" else pa.string(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "similarity", "start", "end"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, similarity double, start long, end long")
+        part = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {id_type}, item_id {item_type}, similarity double, start long, end long")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -279,5 +280,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[h[0] for h in index.value.hits(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .textkernel import pieces, words
 
 #: Documents that a model is learned from are a fixed sample of about so many for each language, by a hash of doc_id.
@@ -132,7 +133,7 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "gram", "n"])
 
-    found = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = chosen.mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     table = np.zeros(((1 << BITS) + SCRIPTS, len(languages)))
     for k, lang in enumerate(languages):
@@ -258,7 +259,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             spans = [[{"lang": lang, "first": a, "behind": b} for lang, a, b in f[3]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64()), pa.array(spans, span)], names=["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first:long,behind:long>>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first:long,behind:long>>")
 
 
 def fold(doc_id: Column) -> Column:
@@ -283,5 +284,5 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
             keep = [lang != UND and share >= least for _, lang, _, _, share in predict(model.value, batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release, small
+from .common import checkpoint, give_back, release, small, trimmed
 from .components import components
 from .textkernel import U64, mix, shingle_sets
 
@@ -163,6 +163,8 @@ def _credits(bits: int) -> Callable:
             _, tags, shared = _shared(first, tags)
             credited, credit = np.unique(tags[shared & (tags != 0)], return_counts=True)
         rows = _packed(_ranges(credited.view(U64), bits), credited, credit.astype(np.int32))
+        del first, tags
+        give_back()
         return pa.Table.from_batches([_batch(rows, ["b", "sets", "credit"])])
 
     return run
@@ -217,7 +219,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
     one = sets.select(F.col("cid").alias("a"), F.col("members").alias("left"))
     two = sets.select(F.col("cid").alias("b"), F.col("members").alias("right"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long").distinct()
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(trimmed(_verify), "a long, b long").distinct()
 
 
 def _sketch_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +244,7 @@ def _sketch_sum(table: pa.Table) -> pa.Table:
 
 def sketch(sets: DataFrame) -> np.ndarray:
     """SKETCH counters of hashed shingles: 4 MB, however large the corpus."""
-    parts = sets.select("members").mapInArrow(_sketch_part, "k long, at binary, counts binary")
+    parts = sets.select("members").mapInArrow(trimmed(_sketch_part), "k long, at binary, counts binary")
     out = np.zeros(SKETCH, np.int32)
     for row in parts.groupBy("k").applyInArrow(_sketch_sum, "k long, total binary").collect():  # 16 rows at most
         out[row["k"] * (SKETCH // 16) : (row["k"] + 1) * (SKETCH // 16)] = np.frombuffer(row["total"], np.int32)
@@ -430,6 +432,7 @@ def _tries(nearest: bool) -> Callable:
         if nearest:
             every.append(np.array([(i, j, far) for i, (far, j) in least.items()], np.int64).reshape(-1, 3).T)
         found = np.unique(np.concatenate(every, axis=1), axis=1)
+        give_back()
         return pa.table({"a": ids[found[0]], "b": ids[found[1]], "apart": found[2]})
 
     return run
@@ -498,19 +501,19 @@ def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = checkpoint(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long"))
+    signed = checkpoint(docs.mapInArrow(trimmed(_signatures), "doc_id long, n long, s1 long, s2 long"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     classes = checkpoint(signed.where(~alone).groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     total = signed.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(total * 2 // 5 // RANGE_TOKENS).bit_length())
-    credits = docs.where("doc_id IS NOT NULL").mapInArrow(_dealing(bits), "r long, tokens binary, tags binary")
+    credits = docs.where("doc_id IS NOT NULL").mapInArrow(trimmed(_dealing(bits)), "r long, tokens binary, tags binary")
     credits = credits.groupBy("r").applyInArrow(_credits(bits), "b long, sets binary, credit binary").groupBy("b").applyInArrow(_totals, "s1 long, credit long")
     out_of = F.least("n", F.floor(F.col("n") / 4) + F.greatest(F.lit(1), F.floor((3 * F.col("n") + 19) / 20))) - F.col("credit")
     left = classes.join(credits, "s1").where(out_of <= F.floor(F.col("n") / 4))
     left = checkpoint(left.select("rep", "s1", "s2", "n", (F.greatest(out_of, F.lit(0)) / F.col("n")).alias("ratio"), F.monotonically_increasing_id().alias("cid")))
     ids = small(left.select("rep", "s1", "s2", "ratio", "cid"), BROADCAST_ROWS)
     sets = docs.join(ids, docs["doc_id"] == ids["rep"]).select("cid", "text", "s1", "s2", "ratio")
-    sets = checkpoint(sets.mapInArrow(_sets, SETS))
+    sets = checkpoint(sets.mapInArrow(trimmed(_sets), SETS))
     if not sets.groupBy("cid").count().where("count > 1").isEmpty():  # repeated rows
         sets = checkpoint(sets.dropDuplicates(["cid"]))
 
@@ -521,8 +524,8 @@ def ngram_join(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     links = checkpoint(verify(near.select(F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct(), sets))
     labels = checkpoint(components(links))
     counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))
-    entries = checkpoint(sets.select("cid", "members").mapInArrow(_prefixes(counts), ENTRIES))
-    bitmaps = checkpoint(sets.select("cid", "n", "members").mapInArrow(_bitmaps, "cid long, n long, bitmap binary"))
+    entries = checkpoint(sets.select("cid", "members").mapInArrow(trimmed(_prefixes(counts)), ENTRIES))
+    bitmaps = checkpoint(sets.select("cid", "n", "members").mapInArrow(trimmed(_bitmaps), "cid long, n long, bitmap binary"))
     nearest = True  # a set meets only its nearest one as long as most of these link; the last round leaves out nothing
     while (met := (pairs := checkpoint(candidates(entries, bitmaps, labels, nearest))).count()):
         links = checkpoint(verify(pairs, sets))
