@@ -12,7 +12,7 @@ dealt in cells, several times over: each of its tables cuts as many further
 projections into intervals as bring a cell down to about BLOCK vectors, and
 there are so many tables that all but LOST of the pairs at the threshold share a
 cell in one of them. A vector is one row in each table, 17 of a label of a
-million and 48 of one of a thousand million. A pair belongs to the first table
+million and 58 of one of a thousand million. A pair belongs to the first table
 in which it shares a cell. Equal vectors are one row with a count. A cell that
 is larger is dealt in pairs of blocks.
 """
