@@ -19,7 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a known language with a quarter of its letters at least; without one (null texts, no letters) they go."""
+    """Documents of whose letters half at least are of known languages, one or several.
+
+    Texts that are null, empty or without a letter go; a null id, lang or source
+    or a repeated row changes nothing. An empty table gives an empty one.
+    """
     return langid.accepted(docs.select(*COLUMNS))
 
 
@@ -41,18 +45,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, whatever their other columns say;
+    repeated rows are judged each for itself, texts of any length as a whole.
+    With no documents or no items the documents come back as they are.
+    """
     return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by [SECRET] and n_chars counted anew."""
+    """All documents, with secrets in their texts replaced by [SECRET] and n_chars counted anew.
+
+    A null text stays null and keeps its n_chars; an empty one has 0. Repeated
+    rows and null ids stay; texts of any length are scanned as a whole.
+    """
     clean = docs.select("doc_id", secrets.redacted(F.col("text")).alias("text"), "lang", "source", "n_chars")
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words of each document the mix takes."""
+    """doc_id, size, source_size, target, taken: how many words of each document the mix takes.
+
+    A null or empty text has size 0 and gives nothing; a null source is a source
+    of its own, the last; a null id has no label and weighs 1. Repeated rows take
+    part each; an empty table gives an empty mix.
+    """
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
