@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from contentloom.llm import decontam, secrets
@@ -65,6 +66,25 @@ def test_stages_and_run(spark, folder):
     assert sorted(map(str, map(tuple, corpus_pipeline.run(spark, out).collect()))) == sorted(map(str, by_stage[4]))
 
 
+def test_nulls_and_clashing_columns(spark, folder):
+    """Each stage on the raw table, with null rows and with extra columns of names that the operators use."""
+    out, rows, _ = folder
+    docs = spark.read.parquet(f"{out}/documents.parquet")
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(["r", "n", "s1", "cid", "count", "members", "component_id", "item_id", "quality", "size", "taken"])])
+    for _, stage in corpus_pipeline.STAGES:
+        plain, more = stage(spark, docs, out), stage(spark, wide, out)
+        assert more.columns == plain.columns
+        assert sorted(str(tuple(x)) for x in more.collect()) == sorted(str(tuple(x)) for x in plain.collect())
+    _, second, third, fourth, last = (stage for _, stage in corpus_pipeline.STAGES)
+    without = {900: None, 901: ""}  # id and text of those without a shingle
+    for stage in (second, third, fourth):
+        kept = {x[0]: x[1] for x in stage(spark, docs, out).collect()}
+        assert {k: kept[k] for k in without} == without and kept[None] == "lonely text"
+    assert [x.n_chars for x in fourth(spark, docs, out).where("doc_id IN (900, 901)").orderBy("doc_id").collect()] == [None, 0]
+    mixed = last(spark, docs, out).collect()
+    assert len(mixed) == len(rows) and all(x.size == x.taken == 0 for x in mixed if x.doc_id in without)
+
+
 def test_empty_tables(spark, folder):
     out, _, _ = folder
     docs = spark.createDataFrame([], SCHEMA)
