@@ -520,3 +520,10 @@ def test_words_of_letters_and_digits():
     start, end, bounds = words(data, offsets, ALNUM)
     h = word_hashes(data, start, end)
     assert bounds.tolist() == [0, 3, 5] and h[0] == h[3] and h[1] == h[4]
+
+
+def test_leak_index_without_items():
+    """No items, or items without words, hold nothing and leave the others alone."""
+    texts = pa.array([None, "", "x y one two three four five six seven z"])
+    assert list(decontam.Index([]).hits(texts)) == []
+    assert [h[:2] for h in decontam.Index([(1, " "), (2, "one two three four five six seven")]).hits(texts)] == [(2, 1)]
